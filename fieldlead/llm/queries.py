@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fieldlead.llm import digest, leaks, mixing, topn
+from fieldlead.llm import digest, leaks, mixing, quality, topn
 from fieldlead.operators.inforce import in_force
 from fieldlead.sources.tables import load
 
@@ -113,3 +113,44 @@ SQL = {
     "p3_top_inventors": _TOP,
     "p3_found": f"SELECT field_id, year, inventor_id FROM ({_TOP})",
 }
+
+
+# 9. per-document text quality statistics
+
+
+def _quality_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return load(spark, d, "documents"), load(spark, d, "doc_labels"), load(spark, d, "common_words")
+
+
+def p9_document_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of prose, list, table and junk in every text, and its kind."""
+    return quality.document_kinds(*_quality_inputs(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in which running prose is less than half of the characters."""
+    return p9_document_kinds(spark, d).where(F.col("prose_share") < 0.5).select("doc_id")
+
+
+def p9_document_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Word, symbol, line and common-word statistics of every document."""
+    docs, _, common = _quality_inputs(spark, d)
+    out = quality.document_statistics(docs, common)
+    rounded = ("mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
+    return out.select("doc_id", "n_chars_text", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in rounded])
+
+
+QUERIES |= {f.__name__: f for f in (p9_found, p9_document_kinds, p9_document_statistics)}
+
+SQL["p9_document_statistics"] = r"""
+WITH base AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF length(trim(x, ' '||chr(9)||chr(13))) > 0] AS l,
+         length(regexp_replace(coalesce(text, ''), '[\p{L}\p{N}\s]+', '', 'g')) AS symbols
+  FROM documents)
+SELECT doc_id, n AS n_chars_text, len(w) AS n_words, len(l) AS n_lines,
+       CASE WHEN len(w) > 0 THEN round(length(array_to_string(w, '')) / len(w), 6) END AS mean_word_length,
+       CASE WHEN n > 0 THEN round(symbols / n, 6) END AS symbol_ratio,
+       CASE WHEN len(l) > 0 THEN round(len([x FOR x IN l IF regexp_matches(trim(x, ' '||chr(9)||chr(13)), '[.!?:;]$')]) / len(l), 6) END AS punctuated_line_share,
+       CASE WHEN len(w) > 0 THEN round(len([x FOR x IN w IF list_contains(listed, x)]) / len(w), 6) END AS common_word_share
+FROM base, (SELECT list(lower(word)) AS listed FROM common_words)"""
