@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Container, Sequence
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 
@@ -24,14 +25,39 @@ _NEAR = (4, 5, 6, 9, 12)
 _REACH = 2
 
 _QUOTE = re.compile(r"^\s*>+ ?")
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_SYMBOL = re.compile(r"[^\w\s.,;:'\"()\-?!]|_")
-_DIGIT = re.compile(r"\d")
-_NOT_LETTER = re.compile(r"[\W\d_]")
-_END = re.compile(r"[^\W\d_][.!?](?=\s|$)")
-_SEPARATOR = re.compile(r"[;|\t]|\s/\s|\s\s+")
-_CUT = re.compile(r"[.!?;:,|\t]|\s/\s|\s\s+")
-_MARKER = re.compile(r"\s*(?:[-*•+–·]|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)])\s")
+_MARKER = re.compile(r"(?:[-*•+–·]|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)])\s")
+_INLINE = (re.compile(r"\s/\s"), re.compile(r"\s\|\s"), re.compile(r";\s"), re.compile(r",\s"))
+_STOP = re.compile(r"[^\W\d_][.!?](?=\s|$)")
+_PLAIN = ".,;:'\"()-?!"
+_LETTER, _DIGIT, _SPACE, _SYMBOL = 1, 2, 4, 8
+_PRIME = np.uint64(0x100000001B3)
+_BLOCK = 0x10000
+
+
+def _class_of(c: str) -> int:
+    if c.isspace():
+        return _SPACE
+    if c.isalnum():
+        return _DIGIT if c.isdecimal() else _LETTER
+    return 0 if c in _PLAIN else _SYMBOL
+
+
+@functools.cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(class, lower case) of the code points of the basic plane."""
+    chars = [chr(i) for i in range(_BLOCK)]
+    lower = [c.lower() for c in chars]
+    return np.array([_class_of(c) for c in chars], np.uint8), np.array([ord(x) if len(x) == 1 else i for i, x in enumerate(lower)], np.uint64)
+
+
+@functools.cache
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _PRIME)], dtype=np.uint64)
+
+
+def _word_hash(word: str) -> int:
+    codes = np.array([ord(c) for c in word], np.uint64)
+    return int((codes * _powers(1 << 12)[np.minimum(np.arange(len(codes)), (1 << 12) - 1)]).sum(dtype=np.uint64))
 
 
 def _unwrapped(block: list[str]) -> list[str]:
@@ -50,8 +76,23 @@ def _unwrapped(block: list[str]) -> list[str]:
     return ["".join(x[:-1] if x.endswith("-") else x + " " for x in lines).rstrip()]
 
 
+def _itemized(line: str) -> list[str]:
+    """The entries of a line that enumerates in running text, else the line itself.
+
+    A line enumerates if one separator cuts it into five entries or more and there is at most one
+    sentence end for six cuts. Table rows framed by bars stay whole.
+    """
+    if len(line) < 40 or line[0] in "|+":
+        return [line]
+    for separator in _INLINE:
+        cuts = len(separator.findall(line))
+        if cuts >= 4 and 6 * len(_STOP.findall(line)) <= cuts:
+            return separator.split(line)
+    return [line]
+
+
 def segments(text: str) -> list[str]:
-    """The text's lines without blank ones; hard-wrapped paragraphs are one segment each."""
+    """The text's lines without blank ones; hard-wrapped paragraphs are one segment each, entries of an inline list one each."""
     out: list[str] = []
     block: list[str] = []
     for line in text.split("\n"):
@@ -62,43 +103,89 @@ def segments(text: str) -> list[str]:
             block = []
     if block:
         out += _unwrapped(block)
-    return [x for x in out if x.strip()]
-
-
-def _own(line: str, common: Container[str]) -> list[float]:
-    tokens = line.split()
-    n, chars = max(1, len(tokens)), max(1, len(line.strip()))
-    found = [w.lower() for w in _WORD.findall(line)]
-    m = max(1, len(found))
-    runs = [len(x.split()) for x in _CUT.split(line) if x and not x.isspace()]
-    return [
-        np.log(n),
-        min(20.0, sum(map(len, tokens)) / n),
-        len(_SYMBOL.findall(line)) / chars,
-        len(_DIGIT.findall(line)) / chars,
-        sum(w in common for w in found) / m,
-        sum(w in CLAUSE_WORDS for w in found) / m,
-        min(0.3, len(_END.findall(line)) / n),
-        min(1.0, len(_SEPARATOR.findall(line)) / n),
-        min(1.0, line.count(",") / n),
-        np.log1p(sum(x * x for x in runs) / max(1, sum(runs))),
-        len(set(found)) / m,
-        (len(line) - len(_NOT_LETTER.findall(line))) / chars,
-        1.0 if _MARKER.match(line) else 0.0,
-    ]
-
-
-def statistics(texts: Sequence[str], common: Container[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return [z for z in (y.strip() for x in out if x.strip() for y in _itemized(x.strip())) if z]
+
+
+def _own(lines: Sequence[str], common: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(characters, statistics but those of the neighbourhood) of lines without blanks around them.
+
+    All lines are worked on as one array of code points. Words are runs of letters, compared by a 64-bit
+    hash of their lower case.
+    """
+    text = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(x) for x in lines])
+    start = np.cumsum(np.r_[0, sizes[:-1] + 1])
+    classes, lower = _tables()
+    basic = np.minimum(text, _BLOCK - 1)
+    kind, low = classes[basic], lower[basic]
+    for code in np.unique(text[text >= _BLOCK]):
+        kind[text == code] = _class_of(chr(code))
+        low[text == code] = code
+    space, letter = kind == _SPACE, kind == _LETTER
+
+    def per_line(mask: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(mask, start, dtype=np.int64)
+
+    def is_(chars: str) -> np.ndarray:
+        return np.isin(text, [ord(c) for c in chars])
+
+    before, after = np.r_[True, space[:-1]], np.r_[space[1:], True]
+    wide = space & after & ~before & (text != 10)
+    slash = (text == ord("/")) & before & after
+    cut = is_(".!?:;,|\t") | slash | wide
+    stop = is_(".!?") & after & np.r_[False, letter[:-1]]
+    words = np.maximum(1, per_line(~space & before))
+    # words between cuts
+    gap = space | cut
+    head = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+    piece = np.cumsum(cut | (text == 10))[head]
+    owner = np.searchsorted(start, head, "right") - 1
+    first = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(piece) else np.zeros(0, np.int64)
+    length = np.diff(np.r_[first, len(piece)])
+    square = np.bincount(owner[first], length * length, len(lines))
+    plain = np.bincount(owner[first], length, len(lines))
+    # runs of letters
+    begin = np.flatnonzero(letter & ~np.r_[False, letter[:-1]])
+    end = np.flatnonzero(letter & ~np.r_[letter[1:], False]) + 1
+    found = np.zeros(len(lines))
+    listed, clause, distinct = np.zeros(len(lines)), np.zeros(len(lines)), np.zeros(len(lines))
+    if len(begin):
+        at = np.flatnonzero(letter)
+        place = np.minimum(at - np.repeat(begin, end - begin), (1 << 12) - 1)
+        hashes = np.add.reduceat(low[at] * _powers(1 << 12)[place], np.cumsum(np.r_[0, (end - begin)[:-1]]), dtype=np.uint64)
+        line = np.searchsorted(start, begin, "right") - 1
+        found = np.bincount(line, minlength=len(lines)).astype(float)
+        listed = np.bincount(line, np.isin(hashes, np.array([_word_hash(w) for w in common], np.uint64)), len(lines))
+        clause = np.bincount(line, np.isin(hashes, np.array([_word_hash(w) for w in CLAUSE_WORDS], np.uint64)), len(lines))
+        order = np.lexsort((hashes, line))
+        fresh = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (line[order][1:] != line[order][:-1])]
+        distinct = np.bincount(line[order], fresh, len(lines))
+    m = np.maximum(1, found)
+    chars = np.maximum(1, sizes).astype(float)
+    return chars, np.column_stack([
+        np.log(words),
+        np.minimum(20.0, per_line(~space) / words),
+        per_line((kind == _SYMBOL)) / chars,
+        per_line(kind == _DIGIT) / chars,
+        listed / m,
+        clause / m,
+        np.minimum(0.3, per_line(stop) / words),
+        np.minimum(1.0, per_line(is_(";|\t") | slash | wide) / words),
+        np.minimum(1.0, per_line(text == ord(",")) / words),
+        np.log1p(square / np.maximum(1, plain)),
+        distinct / m,
+        per_line(letter) / chars,
+        [1.0 if _MARKER.match(x) else 0.0 for x in lines],
+    ])
+
+
+def statistics(texts: Sequence[str], common: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the text, characters, statistics) of every segment of the texts."""
-    owner, size, rows = [], [], []
-    for i, text in enumerate(texts):
-        for line in segments(text):
-            owner.append(i)
-            size.append(len(line))
-            rows.append(_own(line, common))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(NAMES)))
-    who, chars, own = np.array(owner), np.array(size, float), np.array(rows)
+    split = [segments(t) for t in texts]
+    who = np.repeat(np.arange(len(texts)), [len(x) for x in split])
+    if not len(who):
+        return who, np.zeros(0), np.zeros((0, len(NAMES)))
+    chars, own = _own([line for x in split for line in x], common)
     total, weight = np.zeros((len(who), len(_NEAR))), np.zeros(len(who))
     place = np.arange(len(who))
     for step in range(-_REACH, _REACH + 1):
