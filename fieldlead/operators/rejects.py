@@ -45,34 +45,39 @@ def _fails(check: Column, value: Column) -> Column:
     return trimmed(value).isNotNull() & ~good
 
 
-def split_line(line: Column, separator: str = "\t") -> tuple[Column, Column]:
-    """(whether the quotes of a delimited line are sound, its fields).
+def pieces_of(line: Column) -> Column:
+    """A line cut at its quotes; to be made a column of its own before ``split_line`` reads it more than once."""
+    return F.split(line, '"', -1)
 
-    The line is cut at its quotes. Pieces at odd places lie inside quotes. A piece between a closing and
+
+def split_line(pieces: Column, separator: str = "\t") -> tuple[Column, Column]:
+    """(whether the quotes of a delimited line are sound, its fields), from the line's ``pieces_of``.
+
+    Pieces at odd places lie inside quotes. A piece between a closing and
     an opening quote is either empty (a doubled quote) or begins and ends with the separator; the first
     piece may be empty or end with it, the last may be empty or begin with it; and the number of quotes is
     even. That is exactly the grammar of fields that are enclosed as a whole or hold no quote, and it
     needs no backtracking on long lines. Fields of an unsound line are not meaningful.
     """
-    pieces = F.split(line, '"', -1)
-    last = F.size(pieces) - 1
+    cuts = F.size(pieces) - 1
+    first, last = F.element_at(pieces, 1), F.element_at(pieces, -1)
+    middle = F.slice(pieces, 2, F.greatest(cuts - 1, F.lit(0)))  # its element i is piece i + 1
 
-    def sound_at(piece: Column, i: Column) -> Column:
-        start = (i == 0) | piece.startswith(separator)
-        end = (i == last) | piece.endswith(separator)
-        return (i % 2 == 1) | (last == 0) | (F.length(piece) == 0) | (start & end)
+    def safe(piece: Column) -> Column:
+        return F.replace(piece, F.lit("\\"), F.lit("\\b"))
+
+    # the lambdas must not look at the whole array: the optimizer may put its expression into them
+    def sound_between(piece: Column, i: Column) -> Column:
+        return (i % 2 == 0) | (F.length(piece) == 0) | (piece.startswith(separator) & piece.endswith(separator))
 
     # an escaped separator inside quotes survives the split at separators
     def shielded(piece: Column, i: Column) -> Column:
-        safe = F.replace(piece, F.lit("\\"), F.lit("\\b"))
-        return (
-            F.when(i % 2 == 1, F.replace(safe, F.lit(separator), F.lit("\\t")))
-            .when((i > 0) & (i < last) & (F.length(piece) == 0), F.lit('"'))
-            .otherwise(safe)
-        )
-
-    sound = (last % 2 == 0) & F.forall(F.transform(pieces, sound_at), lambda x: x)
-    joined = F.array_join(F.transform(pieces, shielded), "")
+        inside = F.replace(safe(piece), F.lit(separator), F.lit("\\t"))
+        return F.when(i % 2 == 0, inside).when(F.length(piece) == 0, F.lit('"')).otherwise(safe(piece))
+
+    ends = (cuts == 0) | (((F.length(first) == 0) | first.endswith(separator)) & ((F.length(last) == 0) | last.startswith(separator)))
+    sound = (cuts % 2 == 0) & ends & F.forall(F.transform(middle, sound_between), lambda x: x)
+    joined = F.concat(safe(first), F.array_join(F.transform(middle, shielded), ""), F.when(cuts > 0, safe(last)).otherwise(F.lit("")))
     fields = F.transform(F.split(joined, separator, -1), lambda x: F.replace(F.replace(x, F.lit("\\t"), F.lit(separator)), F.lit("\\b"), F.lit("\\")))
     return sound, fields
 
@@ -83,14 +88,15 @@ def parse_lines(lines: DataFrame, layouts: dict[str, Sequence[str]], line: str =
     ``layouts`` gives the columns of each target table; a target outside it is not judged by count. A
     null line is a line of no fields and fails by ``column_count``; an empty line has one field.
     """
-    sound, fields = split_line(F.col(f"`{line}`"), separator)
+    sound, fields = split_line(F.col("_pieces"), separator)
     width = F.lit(None).cast("int")
     for name, columns in layouts.items():
         width = F.when(F.col(f"`{target}`") == name, F.lit(len(columns))).otherwise(width)
-    split = lines.withColumn("_sound", sound).withColumn("fields", F.when(F.col("_sound"), fields))
+    cut = lines.withColumn("_pieces", pieces_of(F.col(f"`{line}`")))
+    split = cut.withColumn("_sound", sound).withColumn("fields", F.when(F.col("_sound"), fields))
     count = F.coalesce(F.size("fields"), F.lit(0))
     wrong = F.col(f"`{line}`").isNull() | (count != width)
-    return split.withColumn("structure", F.when(~F.col("_sound"), "quoting").when(wrong, "column_count")).drop("_sound")
+    return split.withColumn("structure", F.when(~F.col("_sound"), "quoting").when(wrong, "column_count")).drop("_sound", "_pieces")
 
 
 def _aggregate(failed: DataFrame) -> DataFrame:
