@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,7 +64,7 @@ def document_statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def segment_statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """(doc_id, segment, chars, x) of every segment of every text, written once to the shared folder.
+    """(doc_id, segment, chars, x) of every segment of every text, written once to the shared folder; x is a row of 32-bit floats.
 
     Null and blank texts have no segments. Documents that share a doc_id count as one document.
     """
@@ -80,9 +80,9 @@ def segment_statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
                 own = pdf.iloc[part]
                 who, chars, x = statistics(own["text"].tolist(), listed)
                 if len(who):
-                    yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy()[who], "segment": np.arange(len(who)) - np.searchsorted(who, who), "chars": chars, "x": list(x.astype(np.float32))})
+                    yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy()[who], "segment": np.arange(len(who)) - np.searchsorted(who, who), "chars": chars, "x": [row.tobytes() for row in x.astype(np.float32)]})
 
-    return checkpointed(docs.where("text is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, segment int, chars double, x array<float>"))
+    return checkpointed(docs.where("text is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, segment int, chars double, x binary"))
 
 
 @dataclass
@@ -109,6 +109,11 @@ class Mixture:
         return e / total, top[:, 0] + np.log(total[:, 0])
 
 
+def _matrix(x: Iterable[bytes]) -> np.ndarray:
+    """Rows of statistics from their stored form."""
+    return np.frombuffer(b"".join(x), np.float32).reshape(-1, len(NAMES)).astype(float)
+
+
 def _summed(parts: DataFrame) -> np.ndarray:
     """Sums per slot over all partitions; only the summed slots reach the driver."""
     rows = parts.groupBy("slot").agg(F.sum("value").alias("value")).collect()
@@ -125,7 +130,7 @@ def _sums(table: DataFrame, function, width: int) -> np.ndarray:
         total = np.zeros(width)
         for pdf in batches:
             if len(pdf):
-                total += function(np.stack(pdf["x"].to_numpy()).astype(float))
+                total += function(_matrix(pdf["x"]))
         yield pd.DataFrame({"slot": np.arange(width), "value": total})
 
     got = _summed(table.select("x").mapInPandas(run, "slot int, value double"))
@@ -219,7 +224,7 @@ def _document_sums(table: DataFrame, model: Mixture, weights: np.ndarray) -> Dat
         for pdf in batches:
             if not len(pdf):
                 continue
-            r, _ = model.responsibilities(np.stack(pdf["x"].to_numpy()).astype(float))
+            r, _ = model.responsibilities(_matrix(pdf["x"]))
             part = pd.DataFrame((r @ weights) * pdf["chars"].to_numpy()[:, None], columns=names)
             part["chars"] = pdf["chars"].to_numpy()
             part["doc_id"] = pdf["doc_id"].to_numpy()
@@ -254,7 +259,7 @@ def document_kinds(docs: DataFrame, labels: DataFrame, common: DataFrame, compon
     for kind in KINDS:
         rows = known.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id", "segment"), "doc_id", "segment").select("x").limit(MAX_STARTS).collect()
         if rows:
-            starts[kind] = np.array([r["x"] for r in rows], dtype=float)
+            starts[kind] = _matrix(r["x"] for r in rows)
     shares = [f"{k}_share" for k in KINDS]
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, chars double, " + ", ".join(f"{s} double" for s in shares) + ", kind string"
     if "prose" not in starts or len(starts) < 2:
