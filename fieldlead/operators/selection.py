@@ -8,6 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PAIR = ["contributor_id", "field_id"]
+#: Shares are sums of floats in no fixed order; cutoffs are compared at this many decimals, so that a share that is exactly at a cutoff always meets it.
+DECIMALS = 12
+
+
+def reaches(share: str, cutoff) -> Column:
+    return F.round(F.col(share), DECIMALS) >= cutoff
 
 
 @dataclass(frozen=True)
@@ -21,7 +27,7 @@ class Rule:
     margin_column: str = "margin"
 
     def test(self) -> Column:
-        out = F.col("share") >= self.min_share
+        out = reaches("share", self.min_share)
         if self.max_rank is not None:
             out = out & (F.col("rank") <= self.max_rank)
         if self.min_margin is not None:
@@ -38,7 +44,7 @@ def rule_list(cutoffs: Sequence[float], max_rank: int, min_margin: float, min_sh
 def pool(panel: DataFrame, fields: DataFrame, rules: Sequence[Rule], first: int, last: int) -> DataFrame:
     """Panel rows that any rule can select, with size and floor of the field-year of the same window."""
     low = min(r.min_share for r in rules)
-    kept = panel.where(F.col("year").between(first, last) & (F.col("share") >= low))
+    kept = panel.where(F.col("year").between(first, last) & reaches("share", low))
     sizes = fields.select("field_id", "year", F.col("window_first_year").alias("size_first_year"), "field_documents", "clears_floor")
     return kept.join(sizes, ["field_id", "year"], "left")
 
@@ -99,7 +105,7 @@ def cells(hits: DataFrame, career: DataFrame, rules: Sequence[Rule], first: int,
         F.min("years").alias("min_years"), F.max("years").alias("max_years"), F.count_if(F.col("last_year") - F.col("first_year") + 1 == F.col("years")).alias("contiguous"),
         F.count_if(~inside).alias("edge_touching"), F.median(F.when(inside, F.col("years"))).alias("median_years_interior"), F.median("documents").alias("median_documents"),
         F.median("field_documents").alias("median_field_documents"), F.median("career_median_share").alias("median_career_share"),
-        F.count_if(F.col("career_median_share") >= cut).alias("career_above_cutoff"), F.array_join(F.array_sort(F.collect_list("years")), ",").alias("year_counts"),
+        F.count_if(reaches("career_median_share", cut)).alias("career_above_cutoff"), F.array_join(F.array_sort(F.collect_list("years")), ",").alias("year_counts"),
     )
     spark = hits.sparkSession
     frame = spark.createDataFrame([(r.name, w) for r in rules for w in (False, True)], "rule string, with_floor boolean")
@@ -124,7 +130,7 @@ def floor_decomposition(hits: DataFrame, ever: DataFrame) -> DataFrame:
 def exclusions(candidates: DataFrame, rule: Rule) -> DataFrame:
     """One row: why rows of the first ranks fail the margin rule, and what the dense margin would rescue."""
     rows = candidates.where(F.col("rank") <= rule.max_rank)
-    clears, share = F.coalesce(F.col("clears_floor"), F.lit(False)), F.col("share") >= rule.min_share
+    clears, share = F.coalesce(F.col("clears_floor"), F.lit(False)), reaches("share", rule.min_share)
     tied = F.coalesce(F.col("margin") == 1.0, F.lit(False))
     rescued = tied & share & F.coalesce(F.col("margin_dense") >= rule.min_margin, F.lit(False))
     tests = {

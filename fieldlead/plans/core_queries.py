@@ -1,7 +1,7 @@
 """Queries for the engine's own operators on the driver's tables, each with its SQL twin.
 
 A query is given by a function and a column list; both sides of a comparison are cast by that list: ``i``
-to bigint, ``f`` to a double of six decimals, others as they are.
+to bigint, ``f`` to a double of ten decimals, others as they are.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def _shape(df: DataFrame, spec: str) -> DataFrame:
     def one(item: str) -> Column:
         name, _, kind = item.partition(":")
         c = F.col(name)
-        return (c.cast("bigint") if kind == "i" else F.round(c.cast("double"), 6) if kind == "f" else c).alias(name)
+        return (c.cast("bigint") if kind == "i" else F.round(c.cast("double"), 10) if kind == "f" else c).alias(name)
 
     return df.select(*[one(x) for x in spec.split()])
 
@@ -39,7 +39,7 @@ def _shape(df: DataFrame, spec: str) -> DataFrame:
 def _shaped_sql(sql: str, spec: str) -> str:
     def one(item: str) -> str:
         name, _, kind = item.partition(":")
-        return {"i": f'CAST("{name}" AS bigint) AS "{name}"', "f": f'round(CAST("{name}" AS double), 6) AS "{name}"'}.get(kind, f'"{name}"')
+        return {"i": f'CAST("{name}" AS bigint) AS "{name}"', "f": f'round(CAST("{name}" AS double), 10) AS "{name}"'}.get(kind, f'"{name}"')
 
     cut = sql.rindex("\nSELECT")
     return f"{sql[:cut]}\nSELECT {', '.join(one(x) for x in spec.split())} FROM ({sql[cut:]}) AS shaped"
@@ -131,7 +131,7 @@ _LOW = min(r.min_share for r in RULES)
 
 
 def _rule_sql(r: selection.Rule) -> str:
-    parts = [f"share >= {r.min_share}"]
+    parts = [f"round(share, 12) >= {r.min_share}"]
     if r.max_rank is not None:
         parts.append(f"rank <= {r.max_rank}")
     if r.min_margin is not None:
@@ -144,7 +144,7 @@ def _hits(width: str = b.MIDDLE) -> str:
     return f"""{_floor(_PER_YEAR, width)},
 pool AS (
   SELECT p.*, f.window_first_year AS size_first_year, f.field_documents, f.clears_floor FROM panel p LEFT JOIN floored f ON f.field_id = p.field_id AND f.year = p.year
-  WHERE p.year BETWEEN {b.FIRST_WINDOW} AND {b.LAST_WINDOW} AND share >= {_LOW}),
+  WHERE p.year BETWEEN {b.FIRST_WINDOW} AND {b.LAST_WINDOW} AND round(share, 12) >= {_LOW}),
 hits AS ({each}),
 both_ AS (SELECT *, false AS with_floor FROM hits UNION ALL SELECT *, true FROM hits WHERE clears_floor),
 career AS (
@@ -513,8 +513,8 @@ SELECT count(*) FILTER (WHERE size_first_year IS NULL) AS unmatched, count(*) FI
     lambda s, d: selection.pool_faults(selection.pool(b.panel_rows(s, d), b.floored(s, d), RULES, b.FIRST_WINDOW, b.LAST_WINDOW))
 )
 _query("pool_not_binding", "below:i selectable:i", f"""WITH {_panel()}
-SELECT count(*) AS below, count(*) FILTER (WHERE {' OR '.join('(' + _rule_sql(r) + ')' for r in RULES)}) AS selectable FROM panel WHERE share < {_LOW}""")(
-    lambda s, d: b.panel_rows(s, d).where(F.col("share") < _LOW).agg(F.count("*").alias("below"), F.count_if(F.array_contains(F.array(*[F.coalesce(r.test(), F.lit(False)) for r in RULES]), True)).alias("selectable"))
+SELECT count(*) AS below, count(*) FILTER (WHERE {' OR '.join('(' + _rule_sql(r) + ')' for r in RULES)}) AS selectable FROM panel WHERE round(share, 12) < {_LOW}""")(
+    lambda s, d: b.panel_rows(s, d).where(~selection.reaches("share", _LOW)).agg(F.count("*").alias("below"), F.count_if(F.array_contains(F.array(*[F.coalesce(r.test(), F.lit(False)) for r in RULES]), True)).alias("selectable"))
 )
 _query("rule_flags", "contributor_id:i field_id year:i field_ever_clears " + " ".join(r.name for r in RULES), f"""WITH {_hits()}
 SELECT contributor_id, field_id, year, bool_or(clears_floor) OVER (PARTITION BY field_id) AS field_ever_clears, {', '.join(f'coalesce({_rule_sql(r)}, false) AS {r.name}' for r in RULES)} FROM pool""")(
@@ -532,7 +532,7 @@ def _career(spark, d):
 _CELL = """count(*) AS pairs, count(DISTINCT contributor_id) AS contributors, coalesce(sum(years), 0) AS exposure, median(years) AS median_years, min(years) AS min_years, max(years) AS max_years,
   count(*) FILTER (WHERE last_year - first_year + 1 = years) AS contiguous, count(*) FILTER (WHERE first_year = {a} OR last_year = {z}) AS edge_touching,
   median(years) FILTER (WHERE first_year > {a} AND last_year < {z}) AS median_years_interior, median(documents) AS median_documents, median(field_documents) AS median_field_documents,
-  median(career_median_share) AS median_career_share, count(*) FILTER (WHERE career_median_share >= {cut}) AS career_above_cutoff, coalesce(string_agg(CAST(years AS varchar), ',' ORDER BY years), '') AS year_counts"""
+  median(career_median_share) AS median_career_share, count(*) FILTER (WHERE round(career_median_share, 12) >= {cut}) AS career_above_cutoff, coalesce(string_agg(CAST(years AS varchar), ',' ORDER BY years), '') AS year_counts"""
 _CELL_SQL = "\nUNION ALL ".join(
     f"SELECT '{r.name}' AS rule, {w} AS with_floor, {_CELL.format(a=b.FIRST_WINDOW, z=b.LAST_WINDOW, cut=r.min_share)} FROM spells LEFT JOIN career USING (contributor_id, field_id) WHERE rule = '{r.name}' AND with_floor = {w}"
     for r in RULES
@@ -566,11 +566,11 @@ def _decomposition(spark, d):
 
 
 _ALT = RULES[-2]
-_TESTS = {"rows": "true", "no_margin": "margin IS NULL", "tied": "margin = 1.0", "rescued": f"margin = 1.0 AND share >= {_ALT.min_share} AND margin_dense >= {_ALT.min_margin}"}
+_TESTS = {"rows": "true", "no_margin": "margin IS NULL", "tied": "margin = 1.0", "rescued": f"margin = 1.0 AND round(share, 12) >= {_ALT.min_share} AND margin_dense >= {_ALT.min_margin}"}
 _query(
     "alternative_exclusions", "rows:i no_margin:i tied:i small_margin:i rescued:i rows_above_floor:i no_margin_above_floor:i tied_above_floor:i rescued_above_floor:i",
     f"WITH {_hits()}\nSELECT " + ", ".join(f"count(*) FILTER (WHERE {t}) AS {n}, count(*) FILTER (WHERE ({t}) AND clears_floor) AS {n}_above_floor" for n, t in _TESTS.items())
-    + f", count(*) FILTER (WHERE share >= {_ALT.min_share} AND margin < {_ALT.min_margin}) AS small_margin FROM pool WHERE rank <= {_ALT.max_rank}",
+    + f", count(*) FILTER (WHERE round(share, 12) >= {_ALT.min_share} AND margin < {_ALT.min_margin}) AS small_margin FROM pool WHERE rank <= {_ALT.max_rank}",
 )(lambda s, d: selection.exclusions(selection.pool(b.panel_rows(s, d), b.floored(s, d), RULES, b.FIRST_WINDOW, b.LAST_WINDOW), _ALT))
 _query("field_size_summary", "field_years:i above_floor:i median_documents:f median_above_floor:f document_share_above_floor:f", f"""WITH {_floor(_PER_YEAR)}
 SELECT count(*) AS field_years, count(*) FILTER (WHERE clears_floor) AS above_floor, median(field_documents) AS median_documents, median(field_documents) FILTER (WHERE clears_floor) AS median_above_floor,
