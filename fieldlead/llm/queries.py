@@ -137,7 +137,7 @@ def p9_document_statistics(spark: SparkSession, d: str) -> DataFrame:
     docs, _, common = _quality_inputs(spark, d)
     out = quality.document_statistics(docs, common)
     rounded = ("mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
-    return out.select("doc_id", "n_chars_text", "n_words", "n_lines", *[F.round(c, 6).alias(c) for c in rounded])
+    return out.select("doc_id", "n_chars_text", "n_words", "n_lines", *[F.round(c, 12).alias(c) for c in rounded])
 
 
 QUERIES |= {f.__name__: f for f in (p9_found, p9_document_kinds, p9_document_statistics)}
@@ -149,8 +149,8 @@ WITH base AS (
          length(regexp_replace(coalesce(text, ''), '[\p{L}\p{N}\s]+', '', 'g')) AS symbols
   FROM documents)
 SELECT doc_id, n AS n_chars_text, len(w) AS n_words, len(l) AS n_lines,
-       CASE WHEN len(w) > 0 THEN round(length(array_to_string(w, '')) / len(w), 6) END AS mean_word_length,
-       CASE WHEN n > 0 THEN round(symbols / n, 6) END AS symbol_ratio,
-       CASE WHEN len(l) > 0 THEN round(len([x FOR x IN l IF regexp_matches(trim(x, ' '||chr(9)||chr(13)), '[.!?:;]$')]) / len(l), 6) END AS punctuated_line_share,
-       CASE WHEN len(w) > 0 THEN round(len([x FOR x IN w IF list_contains(listed, x)]) / len(w), 6) END AS common_word_share
+       CASE WHEN len(w) > 0 THEN round(length(array_to_string(w, '')) / len(w), 12) END AS mean_word_length,
+       CASE WHEN n > 0 THEN round(symbols / n, 12) END AS symbol_ratio,
+       CASE WHEN len(l) > 0 THEN round(len([x FOR x IN l IF regexp_matches(trim(x, ' '||chr(9)||chr(13)), '[.!?:;]$')]) / len(l), 12) END AS punctuated_line_share,
+       CASE WHEN len(w) > 0 THEN round(len([x FOR x IN w IF list_contains(listed, x)]) / len(w), 12) END AS common_word_share
 FROM base, (SELECT list(lower(word)) AS listed FROM common_words)"""
