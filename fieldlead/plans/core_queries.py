@@ -1,7 +1,8 @@
 """Queries for the engine's own operators on the driver's tables, each with its SQL twin.
 
 A query is given by a function and a column list; both sides of a comparison are cast by that list: ``i``
-to bigint, ``f`` to a double of ten decimals, others as they are.
+to bigint, ``f`` to a double of six decimals (a little above one half is the limit, for many shares
+lie exactly at one half and float noise would decide), others as they are.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def _shape(df: DataFrame, spec: str) -> DataFrame:
     def one(item: str) -> Column:
         name, _, kind = item.partition(":")
         c = F.col(name)
-        return (c.cast("bigint") if kind == "i" else F.round(c.cast("double"), 10) if kind == "f" else c).alias(name)
+        return (c.cast("bigint") if kind == "i" else F.floor(c.cast("double") * 1e6 + 0.500001) / 1e6 if kind == "f" else c).alias(name)
 
     return df.select(*[one(x) for x in spec.split()])
 
@@ -39,7 +40,7 @@ def _shape(df: DataFrame, spec: str) -> DataFrame:
 def _shaped_sql(sql: str, spec: str) -> str:
     def one(item: str) -> str:
         name, _, kind = item.partition(":")
-        return {"i": f'CAST("{name}" AS bigint) AS "{name}"', "f": f'round(CAST("{name}" AS double), 10) AS "{name}"'}.get(kind, f'"{name}"')
+        return {"i": f'CAST("{name}" AS bigint) AS "{name}"', "f": f'floor(CAST("{name}" AS double) * 1e6 + 0.500001) / 1e6 AS "{name}"'}.get(kind, f'"{name}"')
 
     cut = sql.rindex("\nSELECT")
     return f"{sql[:cut]}\nSELECT {', '.join(one(x) for x in spec.split())} FROM ({sql[cut:]}) AS shaped"
