@@ -18,21 +18,31 @@ for _name, _column in ((BROAD, "code_section"), (MIDDLE, "code_class"), (NARROW,
         fields.register_width(_name, lambda c=_column: F.col(c))
 
 
+def filed(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as documents, without grants: what the filing rule needs, and no scan of the lines."""
+    orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("doc_type"), F.to_date("o_orderdate").alias("filing_date"))
+    return orders.withColumns({"withdrawn": F.lit(None).cast("int"), "grant_date": F.lit(None).cast("date")})
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """Orders; the last shipping day stands for the grant. Orders without lines have no grant."""
     grants = load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max(F.to_date("l_shipdate")).alias("grant_date"))
-    orders = load(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("doc_type"), F.to_date("o_orderdate").alias("filing_date"))
-    return orders.withColumn("withdrawn", F.lit(None).cast("int")).join(grants, "doc_id", "left")
+    return filed(spark, d).drop("grant_date").join(grants, "doc_id", "left")
 
 
 def universe(spark: SparkSession, d: str) -> DataFrame:
     return spine.universe(documents(spark, d), FIRST_YEAR, LAST_YEAR)
 
 
+def members(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, year) of the universe."""
+    return spine.universe(filed(spark, d), FIRST_YEAR, LAST_YEAR).select("doc_id", "year")
+
+
 def listings(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the universe's orders: the supplier is the contributor."""
     lines = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("contributor_id"), F.col("l_linenumber").alias("sequence"))
-    return lines.join(universe(spark, d).select("doc_id", F.col("year")), "doc_id")
+    return lines.join(members(spark, d), "doc_id")
 
 
 def codes(spark: SparkSession, d: str) -> DataFrame:
@@ -65,16 +75,16 @@ def panel_rows(spark: SparkSession, d: str, width: str = MIDDLE, tie_rule: str =
 
 
 def heads(spark: SparkSession, d: str, width: str = MIDDLE) -> DataFrame:
-    dated = document_fields(spark, d, width).join(universe(spark, d).select("doc_id", "year"), "doc_id")
+    dated = document_fields(spark, d, width).join(members(spark, d), "doc_id")
     return panel.head_counts(dated, SPAN, FIRST_WINDOW, LAST_WINDOW)
 
 
-def field_years(spark: SparkSession, d: str, width: str = MIDDLE) -> DataFrame:
-    return panel.field_years(panel_rows(spark, d, width), heads(spark, d, width))
+def field_years(spark: SparkSession, d: str, width: str = MIDDLE, rows: DataFrame | None = None) -> DataFrame:
+    return panel.field_years(panel_rows(spark, d, width) if rows is None else rows, heads(spark, d, width))
 
 
-def floored(spark: SparkSession, d: str, width: str = MIDDLE, mode: str = "per_year", value: float = 50.0) -> DataFrame:
-    years = field_years(spark, d, width)
+def floored(spark: SparkSession, d: str, width: str = MIDDLE, mode: str = "per_year", value: float = 50.0, rows: DataFrame | None = None) -> DataFrame:
+    years = field_years(spark, d, width, rows)
     return panel.with_floor(years, panel.floors(years, mode, value, FIRST_WINDOW, LAST_WINDOW))
 
 

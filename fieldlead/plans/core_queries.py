@@ -15,6 +15,7 @@ from fieldlead.functions.columns import repaired_id
 from fieldlead.operators import edges, evidence, fields, link, panel, selection, spine
 from fieldlead.operators.inforce import in_force
 from fieldlead.plans import bindings as b
+from fieldlead.session import checkpointed
 from fieldlead.sources.tables import load
 
 CUTOFFS = (0.05, 0.1, 0.25)
@@ -157,7 +158,9 @@ spells AS (
 
 
 def _hit_rows(spark: SparkSession, d: str, width: str = b.MIDDLE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows, years = b.panel_rows(spark, d, width), b.floored(spark, d, width)
+    # read three times: by the field-years, by the pool and by the careers
+    rows = checkpointed(b.panel_rows(spark, d, width))
+    years = b.floored(spark, d, width, rows=rows)
     candidates = selection.pool(rows, years, RULES, b.FIRST_WINDOW, b.LAST_WINDOW)
     return selection.qualifying(candidates, RULES), rows, years
 
@@ -192,7 +195,7 @@ def _universe_patents(spark, d):
 
 @_query("orphan_documents", "doc_id:i year:i", f"WITH {_UNIVERSE}\nSELECT doc_id, year FROM universe WHERE doc_id NOT IN (SELECT l_orderkey FROM lineitem)")
 def _orphans(spark, d):
-    return spine.orphan_documents(b.universe(spark, d), load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id")))
+    return spine.orphan_documents(b.members(spark, d), load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id")))
 
 
 @_query("team_size_and_listings", "doc_id:i contributor_id:i sequence:i team_size:i listings:i", f"WITH {_LISTINGS}\nSELECT * FROM counted")
@@ -238,7 +241,7 @@ SELECT patent_id, {_e} AS field_id FROM cpc_rows WHERE regexp_full_match(cpc_seq
 
 @_query("assignees_in_universe", "doc_id:i assignee_id:i", f"WITH {_UNIVERSE}\nSELECT l_orderkey AS doc_id, l_partkey AS assignee_id FROM lineitem WHERE l_orderkey IN (SELECT doc_id FROM universe)")
 def _assignees(spark, d):
-    return spine.restricted(load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("assignee_id")), b.universe(spark, d))
+    return spine.restricted(load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("assignee_id")), b.members(spark, d))
 
 
 @_query("spine_symmetric_difference", "differing:i", f"""WITH {_spine()},
