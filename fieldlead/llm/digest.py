@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldlead.functions.columns import bucket_floor, log_bucket
+from fieldlead.session import ship_package
 
 #: Values keep this many leading bits: a reported value is within a factor 2^-MANTISSA_BITS of a true one.
 MANTISSA_BITS = 12
@@ -62,6 +63,7 @@ def _compress(group: np.ndarray, node: np.ndarray, count: np.ndarray, limit: np.
 
 def _compressed(nodes: DataFrame, group: Sequence[str], extra: Sequence[str], k: int, top: int, levels: int) -> DataFrame:
     """Compress the trees of (group, extra), a stream of sorted rows at a time; a group is never split."""
+    ship_package(nodes.sparkSession)
     keys = [*group, *extra]
     schema = nodes.select(*group, "node", "rows").schema
     width = len(group)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from fieldlead.llm.words import words
+from fieldlead.session import ship_package
 
 #: Words that a tile must have at least.
 MIN_TILE = 12
@@ -143,6 +144,7 @@ def shared_passages(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     repeated items are items of their own. Texts are compared as ``words`` reads them.
     """
     spark = docs.sparkSession
+    ship_package(spark)
     size = F.coalesce(F.size(F.split(F.col(f"`{item_text}`"), r"[^\p{L}\p{N}]+")), F.lit(0))
     total = items.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-int(total[0]) // max(1, block_words // 2)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from fieldlead.functions.columns import trimmed
-from fieldlead.session import checkpointed, shuffle_width
+from fieldlead.session import checkpointed, ship_package, shuffle_width
 
 #: Vocabulary of a public byte-level BPE tokenizer, present on every machine.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -50,6 +50,7 @@ def source_name(raw: Column) -> Column:
 
 def sized_documents(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """(doc_id, source, tokens) of every document, written once to the shared folder: tokenizing is the costly part."""
+    ship_package(docs.sparkSession)
     return checkpointed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), source_name(F.col(f"`{source}`")).alias("source"), token_count(F.col(f"`{text}`"), vocabulary).alias("tokens")))
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from fieldlead.llm.segments import NAMES, statistics
-from fieldlead.session import checkpointed
+from fieldlead.session import checkpointed, ship_package
 
 KINDS = ("prose", "list", "table", "junk")
 COMPONENTS = 32
@@ -72,6 +72,7 @@ def segment_statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
     if len(listed) > MAX_COMMON_WORDS:
         raise ValueError("the common-word table is larger than its documented bound")
     kind = dict(docs.dtypes)["doc_id"]
+    ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -163,6 +164,7 @@ def fit_mixture(table: DataFrame, starts: dict[str, np.ndarray], components: int
     the totals. Equal segments weigh as often as they occur.
     """
     d = len(NAMES)
+    ship_package(table.sparkSession)
     sums = _sums(table, lambda x: np.r_[len(x), x.sum(0), (x * x).sum(0)], 1 + 2 * d)
     n = max(sums[0], 1.0)
     centre = sums[1 : 1 + d] / n
