@@ -23,6 +23,8 @@ MAX_LABELLED = 20_000
 MAX_STARTS = 5_000
 MAX_COMMON_WORDS = 100_000
 _VARIANCE_FLOOR = 0.02
+_FARTHEST = 8.0
+_ROWS = 20_000
 _CHUNK_CHARS = 2_000_000
 
 
@@ -64,9 +66,11 @@ def document_statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
 
 
 def segment_statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
-    """(doc_id, segment, chars, x) of every segment of every text, written once to the shared folder; x is a row of 32-bit floats.
+    """(doc_id, chars, x) of every text, written once to the shared folder.
 
-    Null and blank texts have no segments. Documents that share a doc_id count as one document.
+    ``chars`` and ``x`` hold the characters and the statistics of the text's segments as 32-bit floats, one
+    row of numbers per segment. Null and blank texts have no segments and no row. Documents that share
+    a doc_id count as one document.
     """
     listed = frozenset(r[0] for r in common.select(F.lower("word")).where("word is not null").distinct().limit(MAX_COMMON_WORDS + 1).collect())
     if len(listed) > MAX_COMMON_WORDS:
@@ -80,10 +84,14 @@ def segment_statistics(docs: DataFrame, common: DataFrame) -> DataFrame:
             for part in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(sizes // _CHUNK_CHARS)) + 1):
                 own = pdf.iloc[part]
                 who, chars, x = statistics(own["text"].tolist(), listed)
-                if len(who):
-                    yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy()[who], "segment": np.arange(len(who)) - np.searchsorted(who, who), "chars": chars, "x": [row.tobytes() for row in x.astype(np.float32)]})
+                first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else []
+                if len(first):
+                    bounds = [*first, len(who)]
+                    x, chars = x.astype(np.float32), chars.astype(np.float32)
+                    blobs = [(x[a:b].tobytes(), chars[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
+                    yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy()[who[first]], "chars": [c for _, c in blobs], "x": [b for b, _ in blobs]})
 
-    return checkpointed(docs.where("text is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, segment int, chars double, x binary"))
+    return checkpointed(docs.where("text is not null").select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, chars binary, x binary"))
 
 
 @dataclass
@@ -96,23 +104,28 @@ class Mixture:
     mean: np.ndarray
     variance: np.ndarray
 
-    def log_density(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.centre) / self.scale
-        inverse = 1.0 / self.variance
-        square = (z * z) @ inverse.T - 2.0 * z @ (self.mean * inverse).T + (self.mean**2 * inverse).sum(1)
-        return np.log(self.weight) - 0.5 * (square + np.log(self.variance).sum(1))
+    def standardized(self, x: np.ndarray) -> np.ndarray:
+        """In 32-bit floats; values far out are drawn in, which bounds the rounding error of the densities."""
+        return np.clip((x - self.centre.astype(np.float32)) / self.scale.astype(np.float32), -_FARTHEST, _FARTHEST)
 
-    def responsibilities(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lp = self.log_density(x)
+    def responsibilities(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(responsibilities, log-likelihood) of standardized rows."""
+        inverse = 1.0 / self.variance
+        constant = np.log(self.weight) - 0.5 * ((self.mean**2 * inverse).sum(1) + np.log(self.variance).sum(1))
+        # one product of (z squared, z) with both coefficient tables
+        lp = np.hstack([z * z, z]) @ np.vstack([-0.5 * inverse.T, (self.mean * inverse).T]).astype(np.float32)
+        lp += constant.astype(np.float32)
         top = lp.max(1, keepdims=True)
-        e = np.exp(lp - top)
-        total = e.sum(1, keepdims=True)
-        return e / total, top[:, 0] + np.log(total[:, 0])
+        lp -= top
+        np.exp(lp, out=lp)
+        total = lp.sum(1, keepdims=True)
+        lp /= total
+        return lp, top[:, 0] + np.log(total[:, 0])
 
 
 def _matrix(x: Iterable[bytes]) -> np.ndarray:
     """Rows of statistics from their stored form."""
-    return np.frombuffer(b"".join(x), np.float32).reshape(-1, len(NAMES)).astype(float)
+    return np.frombuffer(b"".join(x), np.float32).reshape(-1, len(NAMES))
 
 
 def _summed(parts: DataFrame) -> np.ndarray:
@@ -130,8 +143,9 @@ def _sums(table: DataFrame, function, width: int) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(width)
         for pdf in batches:
-            if len(pdf):
-                total += function(_matrix(pdf["x"]))
+            x = _matrix(pdf["x"])
+            for at in range(0, len(x), _ROWS):
+                total += function(x[at : at + _ROWS])
         yield pd.DataFrame({"slot": np.arange(width), "value": total})
 
     got = _summed(table.select("x").mapInPandas(run, "slot int, value double"))
@@ -165,7 +179,7 @@ def fit_mixture(table: DataFrame, starts: dict[str, np.ndarray], components: int
     """
     d = len(NAMES)
     ship_package(table.sparkSession)
-    sums = _sums(table, lambda x: np.r_[len(x), x.sum(0), (x * x).sum(0)], 1 + 2 * d)
+    sums = _sums(table, lambda x: np.r_[len(x), x.sum(0, dtype=float), (x.astype(float) ** 2).sum(0)], 1 + 2 * d)
     n = max(sums[0], 1.0)
     centre = sums[1 : 1 + d] / n
     scale = np.sqrt(np.maximum(sums[1 + d :] / n - centre**2, 0.0)) + 1e-6
@@ -176,9 +190,9 @@ def fit_mixture(table: DataFrame, starts: dict[str, np.ndarray], components: int
     for _ in range(rounds):
 
         def step(x: np.ndarray, model=model) -> np.ndarray:
-            r, likelihood = model.responsibilities(x)
-            z = (x - model.centre) / model.scale
-            return np.r_[likelihood.sum(), r.sum(0), (r.T @ z).ravel(), (r.T @ (z * z)).ravel()]
+            z = model.standardized(x)
+            r, likelihood = model.responsibilities(z)
+            return np.r_[likelihood.sum(dtype=float), r.sum(0, dtype=float), (r.T @ z).ravel(), (r.T @ (z * z)).ravel()]
 
         sums = _sums(table, step, 1 + k + 2 * k * d)
         mass = sums[1 : 1 + k] + 1e-9
@@ -226,17 +240,31 @@ def _document_sums(table: DataFrame, model: Mixture, weights: np.ndarray) -> Dat
         for pdf in batches:
             if not len(pdf):
                 continue
-            r, _ = model.responsibilities(_matrix(pdf["x"]))
-            part = pd.DataFrame((r @ weights) * pdf["chars"].to_numpy()[:, None], columns=names)
-            part["chars"] = pdf["chars"].to_numpy()
-            part["doc_id"] = pdf["doc_id"].to_numpy()
-            yield part.groupby("doc_id", sort=False, dropna=False).sum().reset_index()[["doc_id", "chars", *names]]
+            x, chars = _matrix(pdf["x"]), np.frombuffer(b"".join(pdf["chars"]), np.float32).astype(float)
+            parts = [model.responsibilities(model.standardized(x[at : at + _ROWS]))[0] @ weights for at in range(0, len(x), _ROWS)]
+            start = np.cumsum([0, *(len(c) // 4 for c in pdf["chars"].iloc[:-1])])
+            out = pd.DataFrame(np.add.reduceat(np.concatenate(parts) * chars[:, None], start), columns=names)
+            out.insert(0, "chars", np.add.reduceat(chars, start))
+            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            yield out
 
     schema = f"doc_id {kind}, chars double, " + ", ".join(f"{n} double" for n in names)
     parts = table.select("doc_id", "chars", "x").mapInPandas(run, schema)
     return parts.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("chars", *names)])
 
 
+def _start_rows(known: DataFrame) -> DataFrame:
+    """(h, x): the segments of labelled documents one by one, with a hash to pick by."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = 4 * len(NAMES)
+        for pdf in batches:
+            yield pd.DataFrame([(d, i, x[at : at + size]) for d, x in zip(pdf["doc_id"], pdf["x"]) for i, at in enumerate(range(0, len(x), size))], columns=["doc_id", "segment", "x"])
+
+    kind = dict(known.dtypes)["doc_id"]
+    return known.select("doc_id", "x").mapInPandas(run, f"doc_id {kind}, segment int, x binary").select(F.xxhash64("doc_id", "segment").alias("h"), "x")
+
+
 def labelled_documents(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
     """At most ``limit`` labelled documents (those with the smallest hash), one label each: the most frequent, then the first by name."""
     clean = labels.select("doc_id", F.lower(F.btrim("label")).alias("label")).where(F.col("label").isin(*KINDS) & F.col("doc_id").isNotNull())
@@ -259,7 +287,7 @@ def document_kinds(docs: DataFrame, labels: DataFrame, common: DataFrame, compon
     known = table.join(F.broadcast(chosen), "doc_id")  # at most MAX_LABELLED rows
     starts = {}
     for kind in KINDS:
-        rows = known.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id", "segment"), "doc_id", "segment").select("x").limit(MAX_STARTS).collect()
+        rows = _start_rows(known.where(F.col("label") == kind)).orderBy("h", "x").limit(MAX_STARTS).collect()
         if rows:
             starts[kind] = _matrix(r["x"] for r in rows)
     shares = [f"{k}_share" for k in KINDS]

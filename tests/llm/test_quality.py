@@ -65,8 +65,8 @@ def test_mixture_finds_planted_components(spark):
     random = np.random.default_rng(1)
     d = len(segments.NAMES)
     a, b = random.normal(0, 1, (900, d)), random.normal(6, 2, (300, d))
-    rows = [(i, 0, 1.0, x.astype(np.float32).tobytes()) for i, x in enumerate(np.vstack([a, b]))]
-    table = spark.createDataFrame(rows, "doc_id bigint, segment int, chars double, x binary").repartition(4)
+    rows = [(i, np.ones(1, np.float32).tobytes(), x.astype(np.float32).tobytes()) for i, x in enumerate(np.vstack([a, b]))]
+    table = spark.createDataFrame(rows, "doc_id bigint, chars binary, x binary").repartition(4)
     model = quality.fit_mixture(table, {"p": a[:50], "q": b[:50]}, components=2)
     mean = model.mean * model.scale + model.centre
     assert np.allclose(sorted(model.weight), [0.25, 0.75], atol=0.02)
