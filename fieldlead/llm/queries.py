@@ -154,3 +154,40 @@ SELECT doc_id, n AS n_chars_text, len(w) AS n_words, len(l) AS n_lines,
        CASE WHEN len(l) > 0 THEN round(len([x FOR x IN l IF regexp_matches(trim(x, ' '||chr(9)||chr(13)), '[.!?:;]$')]) / len(l), 12) END AS punctuated_line_share,
        CASE WHEN len(w) > 0 THEN round(len([x FOR x IN w IF list_contains(listed, x)]) / len(w), 12) END AS common_word_share
 FROM base, (SELECT list(lower(word)) AS listed FROM common_words)"""
+
+
+def _percentile_sql(rows: str, group: str) -> str:
+    """Exact percentiles of the coded values: what the digest gives as long as a group has fewer rows than its compression parameter."""
+    steps, k = 1 << digest.MANTISSA_BITS, digest.compression()
+    return f"""
+WITH numbers AS ({rows}),
+guessed AS (SELECT *, floor(log2(v)) AS g FROM numbers WHERE v IS NOT NULL AND NOT isnan(v)),
+exponents AS (SELECT *, g + CASE WHEN pow(2, g) > v THEN -1 WHEN pow(2, g + 1) <= v THEN 1 ELSE 0 END AS e FROM guessed),
+coded AS (SELECT {group}, pow(2, e) * (1 + floor((v / pow(2, e) - 1) * {steps}) / {steps}) AS value FROM exponents),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY value) AS place, count(*) OVER (PARTITION BY {group}) AS n FROM coded)
+SELECT {group}, n AS rows, CAST(p AS double) AS percentile, value, {digest.tree_levels()} * (n // {k}) AS max_rank_error
+FROM ranked JOIN (SELECT unnest([{', '.join(f'{p}::double' for p in PERCENTILES)}]) AS p) ON place = greatest(1, ceil(p * n - 1e-9))"""
+
+
+SQL |= {
+    "p6_patents_per_year": _percentile_sql(
+        """SELECT year, CAST(field_patents_in_window AS double) AS v FROM (
+    SELECT *, row_number() OVER (PARTITION BY field_id, year ORDER BY load_date DESC, row_id DESC) AS n FROM field_years_unflagged) WHERE n = 1""",
+        "year",
+    ),
+    "p6_career_share_per_field": _percentile_sql("SELECT field_id, career_median_share AS v FROM (SELECT DISTINCT * FROM task3_career)", "field_id"),
+}
+
+
+def _words_sql(table: str, key: str, text: str) -> str:
+    plain = f"lower(strip_accents(replace(replace(replace({text}, chr(173), ''), chr(64257), 'fi'), chr(64258), 'fl')))"
+    whole = rf"regexp_replace({plain}, '([\p{{L}}\p{{N}}]+)-[ \t]*\n[\s>|*#]*([\p{{L}}\p{{N}}]+)', '\1\2', 'g')"
+    return rf"SELECT {key}, regexp_extract_all({whole}, '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE {text} IS NOT NULL"
+
+
+#: Runs of twelve words, for the spellings that occur in the tables: every hyphen at a line end is taken for one of the layout.
+SQL["p7_found"] = f"""
+WITH docs AS ({_words_sql('documents', 'doc_id', 'text')}), items AS ({_words_sql('eval_items', 'item_id', 'item_text')}),
+doc_runs AS (SELECT doc_id, array_to_string(w[i:i + {leaks.MIN_TILE - 1}], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - {leaks.MIN_TILE - 2})) AS i FROM docs)),
+item_runs AS (SELECT item_id, array_to_string(w[i:i + {leaks.MIN_TILE - 1}], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - {leaks.MIN_TILE - 2})) AS i FROM items))
+SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (run)"""
