@@ -582,8 +582,13 @@ SELECT count(*) AS field_years, count(*) FILTER (WHERE clears_floor) AS above_fl
 _FIRST_RULE = RULES[0].name
 
 
-def _working(spark: SparkSession, d: str, width: str = b.MIDDLE) -> DataFrame:
-    return _hit_rows(spark, d, width)[0].where(F.col("rule") == _FIRST_RULE)
+def _satisfying(spark: SparkSession, d: str, rule: selection.Rule, width: str = b.MIDDLE) -> DataFrame:
+    """Panel rows that satisfy one rule; field sizes and floors are not needed for that."""
+    return b.panel_rows(spark, d, width).where(F.col("year").between(b.FIRST_WINDOW, b.LAST_WINDOW) & rule.test())
+
+
+def _working(spark: SparkSession, d: str) -> DataFrame:
+    return _satisfying(spark, d, RULES[0])
 
 
 _query("fields_per_contributor", "one:i two:i three_or_more:i most:i", f"""WITH {_hits()},
@@ -601,7 +606,7 @@ def _width_sql(width: str) -> str:
 @_query("width_overlap", "left right shared:i", f"""WITH sets AS ({' UNION ALL '.join(_width_sql(w) for w in (b.BROAD, b.MIDDLE, b.NARROW))})
 SELECT a.width AS "left", c.width AS "right", count(*) AS shared FROM sets a JOIN sets c USING (contributor_id) WHERE a.width < c.width GROUP BY 1, 2""")
 def _overlap(spark, d):
-    parts = [_hit_rows(spark, d, w)[0].where(F.col("rule") == RULES[1].name).select(F.lit(w).alias("width"), "contributor_id") for w in (b.BROAD, b.MIDDLE, b.NARROW)]
+    parts = [_satisfying(spark, d, RULES[1], w).select(F.lit(w).alias("width"), "contributor_id") for w in (b.BROAD, b.MIDDLE, b.NARROW)]
     return selection.overlap(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
