@@ -25,18 +25,18 @@ def target_states(targets: DataFrame, key: str = "patent_id", deleted: str = "wi
 
     Null keys are no targets. The row in force has the latest load_date, then the highest row_id.
     """
-    latest = F.max(F.struct("load_date", "row_id", reads_as_one(F.col(f"`{deleted}`")).alias("gone")))
+    latest = F.max(F.struct("load_date", "row_id", reads_as_one(F.col(f"`{deleted}`")).alias("_gone")))
     return (
         targets.where(F.col(f"`{key}`").isNotNull())
-        .groupBy(F.col(f"`{key}`").alias("target_key"))
-        .agg(F.min("load_date").alias("first_seen"), latest.alias("latest"))
-        .select("target_key", "first_seen", F.col("latest.gone").alias("gone"))
+        .groupBy(F.col(f"`{key}`").alias("_target_key"))
+        .agg(F.min("load_date").alias("_first_seen"), latest.alias("latest"))
+        .select("_target_key", "_first_seen", F.col("latest._gone").alias("_gone"))
     )
 
 
 def _verdict(joined: DataFrame) -> DataFrame:
-    reason = F.when(F.col("target_key").isNull(), "missing").when(F.col("gone"), "deleted").when(F.col("first_seen") > F.col("load_date"), "late")
-    return joined.withColumn(REASON, reason).where(F.col(REASON).isNotNull()).drop("target_key", "first_seen", "gone")
+    reason = F.when(F.col("_target_key").isNull(), "missing").when(F.col("_gone"), "deleted").when(F.col("_first_seen") > F.col("load_date"), "late")
+    return joined.withColumn(REASON, reason).where(F.col(REASON).isNotNull()).drop("_target_key", "_first_seen", "_gone")
 
 
 def heavy_reference_keys(references: DataFrame, heavy: int = HEAVY_REFERENCES) -> DataFrame:
@@ -50,7 +50,8 @@ def orphan_references(references: DataFrame, states: DataFrame, heavy: int = HEA
 
     ``missing`` if the key has no target, ``deleted`` if the target in force is deleted, ``late`` if the
     target's earliest load date is after the reference's own. Null keys are no references; a null
-    load_date is never late. Nothing is dropped or merged: every orphan reference stays one row.
+    load_date is never late. Nothing is dropped or merged: every orphan reference stays one row. A column
+    of the input that is called ``reason`` is replaced; other columns keep their names and values.
 
     Skew: keys with at least ``heavy`` references are found from pre-aggregated counts. Their states are
     broadcast, so a key that holds a third of all rows never meets in one task; the number of such keys
@@ -60,14 +61,14 @@ def orphan_references(references: DataFrame, states: DataFrame, heavy: int = HEA
     refs = references.where(F.col("ref_key").isNotNull())
     keys = [r[0] for r in heavy_reference_keys(refs, heavy).limit(max_broadcast_keys + 1).collect()]
     if not keys or len(keys) > max_broadcast_keys:
-        return _verdict(refs.join(states, refs["ref_key"] == states["target_key"], "left"))
+        return _verdict(refs.join(states, refs["ref_key"] == states["_target_key"], "left"))
     spark = refs.sparkSession
-    known = F.broadcast(spark.createDataFrame([(k,) for k in keys], "heavy_key string"))
-    light = refs.join(known, refs["ref_key"] == known["heavy_key"], "left_anti")
-    hot = refs.join(known, refs["ref_key"] == known["heavy_key"], "left_semi")
-    hot_states = F.broadcast(states.join(known, states["target_key"] == known["heavy_key"], "left_semi"))
-    light_out = _verdict(light.join(states, light["ref_key"] == states["target_key"], "left"))
-    return light_out.unionByName(_verdict(hot.join(hot_states, hot["ref_key"] == hot_states["target_key"], "left")))
+    known = F.broadcast(spark.createDataFrame([(k,) for k in keys], "_heavy_key string"))
+    light = refs.join(known, refs["ref_key"] == known["_heavy_key"], "left_anti")
+    hot = refs.join(known, refs["ref_key"] == known["_heavy_key"], "left_semi")
+    hot_states = F.broadcast(states.join(known, states["_target_key"] == known["_heavy_key"], "left_semi"))
+    light_out = _verdict(light.join(states, light["ref_key"] == states["_target_key"], "left"))
+    return light_out.unionByName(_verdict(hot.join(hot_states, hot["ref_key"] == hot_states["_target_key"], "left")))
 
 
 def orphan_counts(references: DataFrame, states: DataFrame, heavy: int = HEAVY_REFERENCES) -> DataFrame:

@@ -45,8 +45,10 @@ def test_empty_sides_and_extra_columns(spark):
     refs, states = frames(spark)
     assert orphans.orphan_references(refs.where("false"), states).count() == 0
     assert orphans.orphan_references(refs, states.where("false")).count() == 9
-    extra = refs.withColumns({"n": F.lit(1), "heavy_key": F.lit("x")})
-    assert orphans.orphan_references(extra.drop("heavy_key"), states).columns[-1] == "reason"
+    extra = refs.withColumns({c: F.lit("x") for c in ("n", "heavy_key", "gone", "first_seen", "target_key", "patent_id", "reason", "a b")})
+    for heavy in (1, 100):
+        out = orphans.orphan_references(extra, states, heavy)
+        assert sorted(out.columns) == sorted(extra.columns) and out.count() == 6 and out.where("gone = 'x' and n = 'x'").count() == 6
 
 
 def test_the_number_one(spark):
