@@ -25,7 +25,8 @@ def top_n(df: DataFrame, group: Sequence[str], score: str, tie: Sequence[str], n
     chooses ``tie`` so that it tells rows of a group apart, else equal rows are interchangeable.
     ``rank_in_group`` is the competition rank of the score and ``n_tied`` the number of rows of the
     group with exactly that score, kept or not. Rows whose score is null or NaN are left out; a null
-    in a group column is a group of its own; groups with fewer rows give all they have.
+    in a group column is a group of its own; groups with fewer rows give all they have. Columns of the
+    input that are called like the two results are replaced, unless they are named as group, score or tie.
 
     1. Scores are counted per group and order-preserving bucket, with map-side combine.
     2. The buckets of a group are read from the top until ``n`` rows are certain. Everything below
@@ -34,6 +35,10 @@ def top_n(df: DataFrame, group: Sequence[str], score: str, tie: Sequence[str], n
     3. The survivors are ranked exactly. Spark cuts each input partition to ``n`` rows per group before
        the shuffle, so even a bucket full of equal scores never meets in one task.
     """
+    results = {"rank_in_group", "n_tied"}
+    if results & {*group, score, *tie}:
+        raise ValueError(f"{sorted(results)} are names of results and cannot be group, score or tie")
+    df = df.drop(*results)
     names = df.columns
     value = F.col(f"`{score}`").cast("double")
     rows = df.where(value.isNotNull() & ~F.isnan(value)).withColumn("_bucket", log_bucket(value, bits))
