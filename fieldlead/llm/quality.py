@@ -25,7 +25,7 @@ MAX_COMMON_WORDS = 100_000
 _VARIANCE_FLOOR = 0.02
 _FARTHEST = 8.0
 _ROWS = 20_000
-_CHUNK_CHARS = 2_000_000
+_CHUNK_CHARS = 300_000  # what a pass over the characters holds at once; it fits the cache
 
 
 def document_statistics(docs: DataFrame, common: DataFrame) -> DataFrame:

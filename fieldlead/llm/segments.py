@@ -29,17 +29,19 @@ _MARKER = re.compile(r"(?:[-*•+–·]|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)
 _INLINE = (re.compile(r"\s/\s"), re.compile(r"\s\|\s"), re.compile(r";\s"), re.compile(r",\s"))
 _STOP = re.compile(r"[^\W\d_][.!?](?=\s|$)")
 _PLAIN = ".,;:'\"()-?!"
-_LETTER, _DIGIT, _SPACE, _SYMBOL = 1, 2, 4, 8
+_LETTER, _DIGIT, _SPACE, _SYMBOL, _STOP_SIGN, _CUT_SIGN, _BAR = 1, 2, 4, 8, 16, 32, 64
 _PRIME = np.uint64(0x100000001B3)
 _BLOCK = 0x10000
 
 
 def _class_of(c: str) -> int:
+    """The classes of a character as bits."""
+    signs = (_STOP_SIGN if c in ".!?" else 0) | (_CUT_SIGN if c in ".!?:;,|\t" else 0) | (_BAR if c in ";|\t" else 0)
     if c.isspace():
-        return _SPACE
+        return _SPACE | signs
     if c.isalnum():
         return _DIGIT if c.isdecimal() else _LETTER
-    return 0 if c in _PLAIN else _SYMBOL
+    return signs if c in _PLAIN else _SYMBOL | signs
 
 
 @functools.cache
@@ -121,19 +123,19 @@ def _own(lines: Sequence[str], common: Iterable[str]) -> tuple[np.ndarray, np.nd
     for code in np.unique(text[text >= _BLOCK]):
         kind[text == code] = _class_of(chr(code))
         low[text == code] = code
-    space, letter = kind == _SPACE, kind == _LETTER
+    def has(bit: int) -> np.ndarray:
+        return (kind & bit) > 0
+
+    space, letter = has(_SPACE), has(_LETTER)
 
     def per_line(mask: np.ndarray) -> np.ndarray:
         return np.add.reduceat(mask, start, dtype=np.int64)
 
-    def is_(chars: str) -> np.ndarray:
-        return np.isin(text, [ord(c) for c in chars])
-
     before, after = np.r_[True, space[:-1]], np.r_[space[1:], True]
     wide = space & after & ~before & (text != 10)
     slash = (text == ord("/")) & before & after
-    cut = is_(".!?:;,|\t") | slash | wide
-    stop = is_(".!?") & after & np.r_[False, letter[:-1]]
+    cut = has(_CUT_SIGN) | slash | wide
+    stop = has(_STOP_SIGN) & after & np.r_[False, letter[:-1]]
     words = np.maximum(1, per_line(~space & before))
     # words between cuts
     gap = space | cut
@@ -165,12 +167,12 @@ def _own(lines: Sequence[str], common: Iterable[str]) -> tuple[np.ndarray, np.nd
     return chars, np.column_stack([
         np.log(words),
         np.minimum(20.0, per_line(~space) / words),
-        per_line((kind == _SYMBOL)) / chars,
-        per_line(kind == _DIGIT) / chars,
+        per_line(has(_SYMBOL)) / chars,
+        per_line(has(_DIGIT)) / chars,
         listed / m,
         clause / m,
         np.minimum(0.3, per_line(stop) / words),
-        np.minimum(1.0, per_line(is_(";|\t") | slash | wide) / words),
+        np.minimum(1.0, per_line(has(_BAR) | slash | wide) / words),
         np.minimum(1.0, per_line(text == ord(",")) / words),
         np.log1p(square / np.maximum(1, plain)),
         distinct / m,
