@@ -8,9 +8,14 @@ from collections.abc import Container
 
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"[^\W_]+")
-#: A hyphen at the end of a line, with whatever starts the next line (blanks, quote marks, comment signs).
-_BROKEN = re.compile("([^\\W_]+)[-‐‑][ \\t]*\\n[\\s>|*#]*([^\\W_]+)")
-_INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
+#: A line break with what surrounds it: blanks, then whatever starts the next line (quote marks, comment signs).
+_BREAK = "[^\\S\n]*[\n\r\x0b\x0c\u0085\u2028\u2029][\\s>|*#]*"
+#: A hyphen at the end of a line inside a word, or what may be one. It starts at word starts and never backs up: linear on one endless word.
+_BROKEN = re.compile("(?<![^\\W_])([^\\W_]++)[-\u2010\u2011]" + _BREAK + "([^\\W_]+)")
+#: A soft hyphen at the end of a line is always of the layout.
+_SOFT = re.compile("\u00ad" + _BREAK)
+#: Characters without a shape of their own.
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _LETTERS = str.maketrans({"œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ı": "i"})
 
 
@@ -18,7 +23,7 @@ def folded(text: str) -> str:
     """Lower case, compatibility forms resolved, accents and invisible characters removed."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
+    text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", _SOFT.sub("", text)))
     text = "".join(c for c in text if not unicodedata.combining(c))
     return unicodedata.normalize("NFKC", text.casefold()).translate(_LETTERS)
 
@@ -30,7 +35,7 @@ def words(text: str, known: Container[str] = ()) -> list[str]:
     layout hyphen and a hyphen that belongs to the text look alike, and the vocabulary tells them apart.
     """
     text = folded(text)
-    if known and "\n" in text:
+    if known and len(text.splitlines()) > 1:
 
         def joined(m: re.Match) -> str:
             whole = m.group(1) + m.group(2)

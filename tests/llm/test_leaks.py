@@ -48,8 +48,9 @@ def greedy(a, b, least):
 
 def test_spellings_of_the_same_words(spark):
     variants = [
-        ITEM.upper(), ITEM.replace(" ", " "), ITEM.replace("electrode", "elec­trode"), ITEM.replace("electrode", "elec-\ntrode"), ITEM.replace("electrode", "elec-\n> trode"), ITEM.replace("fi", "ﬁ"),
-        ITEM.replace("ü", "ü"), ITEM.replace(" ", "\n* "), ITEM.replace(" ", ", "), ITEM.replace("two-port", "two-\nport"), "Ａ b " + ITEM,
+        ITEM.upper(), ITEM.replace(" ", "\u00a0"), ITEM.replace("electrode", "elec\u00adtrode"), ITEM.replace("electrode", "elec-\ntrode"), ITEM.replace("electrode", "elec-\n> trode"),
+        ITEM.replace("electrode", "elec\u00ad\n  trode"), ITEM.replace("electrode", "elec\u2010 \r\ntrode"), ITEM.replace("fi", "\ufb01"), ITEM.replace("\u00fc", "u\u0308"), ITEM.replace(" ", "\n* "),
+        ITEM.replace(" ", ", "), ITEM.replace("two-port", "two-\nport"), ITEM.replace("two-port", "two\u2011port"), ITEM.replace("gate", "ga\u200bte"), "\uff21 b " + ITEM,
     ]
     out = leaks.shared_passages(docs_of(spark, variants), items_of(spark, [ITEM])).collect()
     size = len(words(ITEM))
@@ -103,7 +104,7 @@ def test_tiles_never_overlap():
 def test_blocks_repeats_and_empty(spark):
     w = words(ITEM)
     items = [ITEM, ITEM, " ".join(reversed(w)), "another item that nobody has ever copied into any text of this corpus at all"]
-    texts = [ITEM, ITEM, " ".join(reversed(w)), "x " * 50_000 + ITEM]
+    texts = [ITEM, ITEM, " ".join(reversed(w)), "x " * 50_000 + "y" * 400_000 + "\n" + ITEM]
     whole = leaks.shared_passages(docs_of(spark, texts), items_of(spark, items)).select("doc_id", "item_id", "longest_tile")
     parts = leaks.shared_passages(docs_of(spark, texts), items_of(spark, items), block_words=30).select("doc_id", "item_id", "longest_tile")
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
