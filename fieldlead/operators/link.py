@@ -123,6 +123,14 @@ def name_agreement(link: DataFrame, left: DataFrame, right: DataFrame) -> DataFr
     return per.agg(F.count("*").alias("compared"), F.count_if("agree").alias("agreeing")).withColumn("share", F.try_divide(F.col("agreeing"), F.col("compared")))
 
 
+def require_name_agreement(link: DataFrame, left: DataFrame, right: DataFrame, floor: float, label: str) -> float:
+    """Stop if fewer than ``floor`` of the compared links carry agreeing names; nothing to compare is a failure too."""
+    row = name_agreement(link, left, right).first()
+    if row["share"] is None or row["share"] < floor:
+        raise ValueError(f"{label}: {row['agreeing']:,} of {row['compared']:,} compared links agree on the name, below the floor of {floor}")
+    return row["share"]
+
+
 def same_slot(listings: DataFrame) -> DataFrame:
     """Listings with their place on the document counted from 0."""
     order = Window.partitionBy("doc_id").orderBy("sequence", "contributor_id")

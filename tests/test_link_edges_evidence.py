@@ -32,6 +32,11 @@ def test_coordinates(spark, rows):
     assert rows(link.coordinate_link(ids, slots)) == [("39-2", "b"), ("H0018384-1", "a")]
 
 
+def test_places_on_a_document(spark, rows):
+    df = spark.createDataFrame([("d", "b", 7), ("d", "a", 7), ("d", "c", 2), ("e", "a", None)], "doc_id string, contributor_id string, sequence int")
+    assert rows(link.same_slot(df).select("doc_id", "contributor_id", "place")) == [("d", "a", 1), ("d", "b", 2), ("d", "c", 0), ("e", "a", 0)]
+
+
 def test_owner_rule(spark):
     df = spark.createDataFrame([("a", "b"), ("a", "a"), (None, "b"), ("a", None), (None, None)], "release_contributor string, coordinate_contributor string")
     owner, agree = link.owner()
@@ -57,6 +62,12 @@ def test_names_without_case_and_accents(spark):
     right = spark.createDataFrame([("a", "MULLER"), ("b", "oneil"), ("c", "Jones"), ("c", None)], "contributor_id string, name string")
     row = link.name_agreement(pairs(spark, [("1", "a"), ("2", "b"), ("3", "c")]), left, right).first()
     assert (row["compared"], row["agreeing"]) == (3, 2)
+    linked = pairs(spark, [("1", "a"), ("2", "b"), ("3", "c")])
+    assert link.require_name_agreement(linked, left, right, 0.6, "names") == pytest.approx(2 / 3)
+    with pytest.raises(ValueError, match="names: 2 of 3 compared links"):
+        link.require_name_agreement(linked, left, right, 0.99, "names")
+    with pytest.raises(ValueError, match="0 of 0"):
+        link.require_name_agreement(linked.where("false"), left, right, 0.5, "names")
 
 
 TRUTH = [
