@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldlead.functions.columns import repaired_id
-from fieldlead.operators import edges, evidence, fields, link, panel, selection, spine
+from fieldlead.operators import edges, evidence, fields, link, panel, rejects, selection, spine
 from fieldlead.operators.inforce import in_force
 from fieldlead.plans import bindings as b
+from fieldlead.plans.problems import _SEQ_OK, _TRIM
 from fieldlead.session import checkpointed
 from fieldlead.sources.tables import load
 
@@ -238,6 +239,14 @@ SELECT patent_id, {_e} AS field_id FROM cpc_rows WHERE regexp_full_match(cpc_seq
         named = rows.select(F.col("patent_id").alias("doc_id"), F.col("cpc_sequence_text").alias("code_sequence"), *[F.col(f"cpc_{c}").alias(f"code_{c}") for c in ("section", "class", "subclass", "group")])
         return fields.assign_fields(named, w, 0, "C").withColumnRenamed("doc_id", "patent_id")
 
+    # primary_code_* above are the sample of section C, unpadded; these take every readable primary row of all sections
+    @_query(f"primary_code_{_w}_whole", "patent_id field_id", f"""
+SELECT patent_id, {_e} AS field_id FROM cpc_rows WHERE {_SEQ_OK.format(_TRIM.format('cpc_sequence_text'))} AND try_cast({_TRIM.format('cpc_sequence_text')} AS int) = 0 AND {_e} <> ''""")
+    def _primary_whole(spark, d, w=_w):
+        rows = load(spark, d, "cpc_rows").withColumn("code_sequence", rejects.as_sequence(F.col("cpc_sequence_text")))
+        named = rows.select(F.col("patent_id").alias("doc_id"), "code_sequence", *[F.col(f"cpc_{c}").alias(f"code_{c}") for c in ("section", "class", "subclass", "group")])
+        return fields.assign_fields(named, w, 0).withColumnRenamed("doc_id", "patent_id")
+
 
 @_query("assignees_in_universe", "doc_id:i assignee_id:i", f"WITH {_UNIVERSE}\nSELECT l_orderkey AS doc_id, l_partkey AS assignee_id FROM lineitem WHERE l_orderkey IN (SELECT doc_id FROM universe)")
 def _assignees(spark, d):
