@@ -357,6 +357,22 @@ for _r, _f in _FLAG.items():
     )(lambda s, d, r=_r: edges.collapse_edges(_received(s, d), r, "R"))
 _query("edges_raw_schema", _EDGE_SPEC, f"WITH {_EDGES}\nSELECT citing_id, cited_id, category, false AS conflicted, category = 'R' AS by_examiner, 1 AS records FROM received")(lambda s, d: edges.raw_edges(_received(s, d), "R"))
 
+_ALL_EDGES = _EDGES.replace(" WHERE p_size <= 25", "")
+
+
+def _received_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Edges to any product; the queries above keep half of the products as their cited universe."""
+    return edges.edges_received(b.edges(spark, d), b.citing_dates(spark, d), load(spark, d, "part").select(F.col("p_partkey").alias("doc_id")))
+
+
+_query("edges_received_whole", "citing_id:i cited_id:i category citing_date", f"WITH {_ALL_EDGES}\nSELECT * FROM received")(_received_whole)
+for _r, _f in _FLAG.items():
+    _query(
+        f"edges_dedup_{_r.split('_')[0]}_whole", _EDGE_SPEC,
+        f"WITH {_ALL_EDGES}\nSELECT citing_id, cited_id, CASE WHEN {_CONFLICT} THEN NULL ELSE min(category) END AS category, {_CONFLICT} AS conflicted, {_f} AS by_examiner, count(*) AS records FROM received GROUP BY 1, 2",
+    )(lambda s, d, r=_r: edges.collapse_edges(_received_whole(s, d), r, "R"))
+_query("edges_raw_schema_whole", _EDGE_SPEC, f"WITH {_ALL_EDGES}\nSELECT citing_id, cited_id, category, false AS conflicted, category = 'R' AS by_examiner, 1 AS records FROM received")(lambda s, d: edges.raw_edges(_received_whole(s, d), "R"))
+
 # ---------------------------------------------------------------- links
 
 _PAIRS = """

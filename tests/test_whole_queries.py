@@ -12,3 +12,17 @@ def test_primary_codes_of_all_sections(spark, tmp_path, rows, width, want):
     df = spark.createDataFrame([(p, s, *codes[p]) for p, s in sequences], "patent_id string, cpc_sequence_text string, cpc_section string, cpc_class string, cpc_subclass string, cpc_group string")
     df.write.parquet(str(tmp_path / "cpc_rows.parquet"))
     assert rows(core_queries.QUERIES[f"primary_code_{width}_whole"](spark, str(tmp_path))) == list(zip("abcd", want))
+
+
+@pytest.mark.parametrize(("name", "want"), [
+    ("edges_received_whole", 4), ("edges_raw_schema_whole", 4),
+    ("edges_dedup_any_whole", [(1, 7, None, True, True, 2), (1, 8, None, True, True, 2)]), ("edges_dedup_all_whole", [(1, 7, None, True, False, 2), (1, 8, None, True, False, 2)]),
+    ("edges_dedup_drop_whole", [(1, 7, None, True, None, 2), (1, 8, None, True, None, 2)]),
+])
+def test_edges_to_every_product(spark, tmp_path, rows, name, want):
+    lines = [(1, 7, "R"), (1, 7, "A"), (1, 8, "R"), (1, 8, "A")]
+    spark.createDataFrame([(*x, "2000-01-01") for x in lines], "l_suppkey long, l_partkey long, l_returnflag string, l_shipdate string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(7, 25), (8, 26)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, 5.0)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = core_queries.QUERIES[name](spark, str(tmp_path))
+    assert got.count() == want if isinstance(want, int) else rows(got) == want
