@@ -412,6 +412,19 @@ def _owner(spark, d):
     return anchors.join(release, "customer", "left").join(coordinate, "identity_id", "left").withColumn("owner", owner).withColumn("routes_agree", agree)
 
 
+@_query("owner_precedence_whole", "identity_id release_contributor:i coordinate_contributor:i owner:i routes_agree", f"""WITH {_PAIRS},{_ANCHORS}
+SELECT a.identity_id, r.contributor_id AS release_contributor, c.contributor_id AS coordinate_contributor,
+  coalesce(r.contributor_id, c.contributor_id) AS owner, CASE WHEN r.contributor_id IS NOT NULL AND c.contributor_id IS NOT NULL THEN r.contributor_id = c.contributor_id END AS routes_agree
+FROM anchors a LEFT JOIN release_link r ON r.identity_id = a.customer LEFT JOIN coordinate c ON c.identity_id = a.identity_id""")
+def _owner_whole(spark, d):
+    """The owner rule over every release link; owner_precedence keeps links with more than one vote."""
+    anchors = b.anchors(spark, d)
+    release = link.release_link(b.release_pairs(spark, d)).select(F.col("identity_id").alias("customer"), F.col("contributor_id").alias("release_contributor"))
+    coordinate = link.coordinate_link(anchors, b.slots(spark, d)).withColumnRenamed("contributor_id", "coordinate_contributor")
+    owner, agree = link.owner("release")
+    return anchors.join(release, "customer", "left").join(coordinate, "identity_id", "left").withColumn("owner", owner).withColumn("routes_agree", agree)
+
+
 _AGREE = f"""WITH {_PAIRS},
 l AS (SELECT o_custkey AS identity_id, l_partkey AS doc_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 r AS (SELECT l_suppkey AS contributor_id, l_partkey AS doc_id FROM lineitem),

@@ -26,3 +26,11 @@ def test_edges_to_every_product(spark, tmp_path, rows, name, want):
     spark.createDataFrame([(1, 5.0)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
     got = core_queries.QUERIES[name](spark, str(tmp_path))
     assert got.count() == want if isinstance(want, int) else rows(got) == want
+
+
+def test_owner_with_one_vote(spark, tmp_path, rows):
+    """Customer 5 has one vote for each of two suppliers; customer 6 has no lines, so that neither route speaks."""
+    spark.createDataFrame([(1, 5), (2, 6)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 1, 31), (1, 2, 30)], "l_orderkey long, l_linenumber long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = core_queries.QUERIES["owner_precedence_whole"](spark, str(tmp_path))
+    assert rows(got) == [("1-1", 30, 31, 30, False), ("2-2", None, None, None, None)]
