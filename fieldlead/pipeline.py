@@ -70,6 +70,7 @@ def select(spark: SparkSession, cfg: Config, built: Mapping[str, Path], measured
     store.require_same_config(list(measured.values()), cfg)
     first, last, span = cfg["events.first_year"], cfg["events.last_year"], cfg["windows.span"]
     rules = selection.rule_list(cfg["select.cutoffs"], 1, cfg["select.min_margin"], cfg["select.min_share"])
+    working = next(r.name for r in rules if r.max_rank is None and r.min_share == cfg["select.working_cutoff"])
     rows, years = store.read_table(spark, measured["panel"]), store.read_table(spark, measured["field_years"])
     target = Path(out) / f"candidates_{width}"
     if force or not store.is_fresh(target, cfg, list(measured.values())):
@@ -86,7 +87,7 @@ def select(spark: SparkSession, cfg: Config, built: Mapping[str, Path], measured
         "loose_exposure": selection.loose_exposure(hits, span, first, last),
         "decomposition": selection.floor_decomposition(hits, selection.field_ever_clears(years)),
         "field_size": selection.size_summary(years, first, last),
-        "pairs": selection.pair_spells(hits).join(career, selection.PAIR, "left"),
+        "pairs": selection.pair_spells(hits.where(F.col("rule") == working)).where("with_floor").join(career, selection.PAIR, "left"),
     }
     small = {k: [r.asDict() for r in results[k].collect()] for k in ("cells", "loose_exposure", "decomposition")}
     names = [r.name for r in rules if r.max_rank is None]
@@ -108,6 +109,10 @@ def run(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], out:
             frame = results[name].toPandas()
             store.write_csv(folder, f"{name}_{width}.csv", frame.round(decimals), cfg)
             sections[name] = report.table(frame, decimals)
+        store.write_csv(folder, f"loose_exposure_{width}.csv", results["loose_exposure"].toPandas(), cfg)
+        pairs = folder / f"pairs_{width}"
+        store.write_table(results["pairs"], pairs, cfg, "select", [folder / f"candidates_{width}", measured["panel"]])
+        written.append(pairs)
         store.write_text(folder, f"report_{width}.md", report.document(f"Dominance at width {width}", sections), cfg)
         failed += [c for c in (*panel_checks, *cell_checks) if not c.passed]
     ledger.finish(folder)
