@@ -32,6 +32,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{path}: {'kept' if rows is None else f'{rows:,} rows'}")
         return 0
     cfg = config.load(args.config) if args.config else config.build(known_widths=lambda: set(WIDTHS))
+    spark.conf.set("spark.sql.shuffle.partitions", str(cfg["runtime.shuffle_partitions"]))
     data = args.data or delimited.data_root(cfg["paths.data"])
     tables = {n: spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "listings", "codes")}
     print(pipeline.run(spark, cfg, tables, args.out or cfg["paths.output"], args.force))
