@@ -8,8 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fieldlead.functions.columns import bucket_floor, log_bucket
-from fieldlead.session import ship_package
+from fieldlead.llm.buckets import bucket_floor, log_bucket
+from fieldlead.llm.shipping import ship_package
 
 #: Values keep this many leading bits: a reported value is within a factor 2^-MANTISSA_BITS of a true one.
 MANTISSA_BITS = 12

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from fieldlead.llm.words import words
-from fieldlead.session import ship_package
+from fieldlead.llm.shipping import ship_package
 
 #: Words that a tile must have at least.
 MIN_TILE = 12

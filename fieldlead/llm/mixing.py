@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from fieldlead.functions.columns import trimmed
-from fieldlead.session import checkpointed, ship_package, shuffle_width
+from fieldlead.llm.shipping import ship_package
+from fieldlead.session import checkpointed, shuffle_width
 
 #: Vocabulary of a public byte-level BPE tokenizer, present on every machine.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"

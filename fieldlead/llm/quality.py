@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from fieldlead.llm.segments import NAMES, statistics
-from fieldlead.session import checkpointed, ship_package
+from fieldlead.llm.shipping import ship_package
+from fieldlead.session import checkpointed
 
 KINDS = ("prose", "list", "table", "junk")
 COMPONENTS = 32

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlead.functions.columns import bucket_floor, log_bucket
+from fieldlead.llm.buckets import bucket_floor, log_bucket
 from fieldlead.llm import digest
 
 
