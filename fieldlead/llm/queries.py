@@ -15,17 +15,20 @@ PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 # 3. top N items within every group
 
 
-def p3_top_inventors(spark: SparkSession, d: str) -> DataFrame:
-    """The three inventors with the largest share of every field and window-year, with rank and tie size."""
+def _top_inventors(spark: SparkSession, d: str, ties: bool) -> DataFrame:
     columns = ["row_id", "inventor_id", "field_id", "year", "share", "load_date"]
     rows = in_force(load(spark, d, "inventor_field_years").select(*columns), ["inventor_id", "field_id", "year"])
-    top = topn.top_n(rows, ["field_id", "year"], "share", ["inventor_id"], TOP)
-    return top.select("field_id", "year", "inventor_id", "share", F.col("rank_in_group").alias("rank"), F.col("n_tied").alias("n_tied_at_rank"))
+    return topn.top_n(rows, ["field_id", "year"], "share", ["inventor_id"], TOP, ties=ties)
+
+
+def p3_top_inventors(spark: SparkSession, d: str) -> DataFrame:
+    """The three inventors with the largest share of every field and window-year, with rank and tie size."""
+    return _top_inventors(spark, d, True).select("field_id", "year", "inventor_id", "share", F.col("rank_in_group").alias("rank"), F.col("n_tied").alias("n_tied_at_rank"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """The inventors of p3_top_inventors."""
-    return p3_top_inventors(spark, d).select("field_id", "year", "inventor_id")
+    """The inventors of p3_top_inventors, without counting ties."""
+    return _top_inventors(spark, d, False).select("field_id", "year", "inventor_id")
 
 
 # 6. percentiles of very large columns
