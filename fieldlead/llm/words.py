@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Container
 
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _WORD = re.compile(r"[^\W_]+")
 #: A line break with what surrounds it: blanks, then whatever starts the next line (quote marks, comment signs).
-_BREAK = "[^\\S\n]*[\n\r\x0b\x0c\u0085\u2028\u2029][\\s>|*#]*"
-#: A hyphen at the end of a line inside a word, or what may be one. It starts at word starts and never backs up: linear on one endless word.
-_BROKEN = re.compile("(?<![^\\W_])([^\\W_]++)[-\u2010\u2011]" + _BREAK + "([^\\W_]+)")
+_BREAK = "[^\\S\n]*+[\n\r\x0b\x0c\u0085  ][\\s>|*#]*+"
+#: A hyphen between letters at the end of a line: of the layout or of the word, nobody can tell.
+_BROKEN = re.compile("(?<=[^\\W_])[-‐‑]" + _BREAK + "(?=[^\\W_])")
+#: Stands for such a hyphen while a text is cut into words.
+_MARK = "\x01"
+_MARKED_WORD = re.compile(rf"[^\W_]+{_MARK}?")
 #: A soft hyphen at the end of a line is always of the layout.
-_SOFT = re.compile("\u00ad" + _BREAK)
+_SOFT = re.compile("­" + _BREAK)
 #: Characters without a shape of their own.
-_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+_INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿]")
 _LETTERS = str.maketrans({"œ": "oe", "æ": "ae", "ø": "o", "ł": "l", "đ": "d", "ı": "i"})
 
 
@@ -28,18 +30,20 @@ def folded(text: str) -> str:
     return unicodedata.normalize("NFKC", text.casefold()).translate(_LETTERS)
 
 
-def words(text: str, known: Container[str] = ()) -> list[str]:
-    """Runs of letters and digits of the folded text.
+def atoms(text: str) -> tuple[list[str], list[int]]:
+    """(runs of letters and digits of the folded text, the places of those that a hyphen at a line end ties to the next).
 
-    Two halves around a hyphen and a line break are one word if that word is in ``known``, else two: a
-    layout hyphen and a hyphen that belongs to the text look alike, and the vocabulary tells them apart.
+    A tie leaves both readings open: the halves are words of their own ('well-known'), or one word that the
+    layout broke ('won-derful'). Any number of halves may hang together.
     """
     text = folded(text)
-    if known and len(text.splitlines()) > 1:
+    plain = _ASCII_WORD if text.isascii() else _WORD
+    if not _BROKEN.search(text):
+        return plain.findall(text), []
+    found = _MARKED_WORD.findall(_BROKEN.sub(_MARK, text.replace(_MARK, " ")))
+    return [w.removesuffix(_MARK) for w in found], [i for i, w in enumerate(found) if w.endswith(_MARK)]
 
-        def joined(m: re.Match) -> str:
-            whole = m.group(1) + m.group(2)
-            return whole if whole in known else m.group(0)
 
-        text = _BROKEN.sub(joined, text)
-    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+def words(text: str) -> list[str]:
+    """The runs of letters and digits, halves around a line end apart."""
+    return atoms(text)[0]
