@@ -21,6 +21,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NEWTON_ROUNDS = 60
 TOLERANCE = 1e-10
+#: Sources whose multipliers are on the driver at a time.
+SOURCE_BLOCK = 5_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -55,72 +57,89 @@ def sized_documents(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "
     return checkpointed(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), source_name(F.col(f"`{source}`")).alias("source"), token_count(F.col(f"`{text}`"), vocabulary).alias("tokens")))
 
 
-def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
-    """Target rows by source. The table names sources, of which there is a bounded handful; repeated rows add their shares."""
+def usable_targets(targets: DataFrame) -> DataFrame:
+    """(source, share, cap) of the target rows that ask for something; repeated rows add their shares, the lowest cap holds.
+
+    Rows without a source, with a share that is null, NaN or not above 0, or with a cap below 1 ask for
+    nothing; ``mix_report`` still shows their sources.
+    """
     rows = targets.select(source_name(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("cap"))
-    rows = rows.where("source is not null and share > 0 and not isnan(share) and cap >= 1").groupBy("source").agg(F.sum("share"), F.min("cap"))
-    got = rows.limit(10_001).collect()
-    if len(got) > 10_000:
-        raise ValueError("more than 10,000 sources have a target; the dual has one multiplier per source and is solved on the driver")
-    return {r[0]: (float(r[1]), int(r[2])) for r in got}
+    return rows.where("source is not null and share > 0 and not isnan(share) and cap >= 1").groupBy("source").agg(F.sum("share").alias("share"), F.min("cap").alias("cap"))
 
 
 def _rate(lengths: Column, multiplier: Column, scale: Column, cap: Column) -> Column:
     return F.least(cap.cast("double"), F.exp(F.least(multiplier * lengths / scale, F.lit(50.0))))
 
 
-def solve_rates(sized: DataFrame, targets: DataFrame, rounds: int = NEWTON_ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, dict[str, dict]]:
-    """Entropy balancing: (source, tokens, documents, rate) for every length, and the solution per source.
-
-    Rates r minimise the entropy relative to using every document once, subject to the tokens of each
-    source being its share of the total and to 0 <= r <= max_repeats. The solution is
-    r = min(max_repeats, exp(multiplier * tokens / mean tokens)); the multipliers solve the convex dual.
-    Each Newton round is one distributed aggregation over lengths, which gives value and derivative for
-    every source; a step outside the bracket found so far is replaced by bisection.
-
-    The total is the largest that every source with documents can supply within its repeats. Shares of
-    sources without documents cannot be reached; the others keep their proportions. Documents without
-    tokens or outside the targets have no rate.
-    """
-    wanted = _targets(targets)
-    lengths = checkpointed(sized.where("source is not null and tokens > 0").groupBy("source", "tokens").agg(F.count("*").alias("documents")))
-    spark = sized.sparkSession
-    supply = {
-        r["source"]: r
-        for r in lengths.join(F.broadcast(_frame(spark, {s: (1.0,) for s in wanted}, "k double")), "source").groupBy("source").agg(
-            F.sum(F.col("documents") * F.col("tokens")).alias("tokens"), F.sum("documents").alias("documents"), F.min("tokens").alias("shortest")
-        ).collect()
-    } if wanted else {}
-    present = {s: wanted[s] for s in supply}
-    share = sum(p for p, _ in present.values())
-    total = min((cap * supply[s]["tokens"] * share / p for s, (p, cap) in present.items()), default=0.0)
-    state = {}
-    for s, (p, cap) in present.items():
-        mean = supply[s]["tokens"] / supply[s]["documents"]
+def _solve_block(lengths: DataFrame, goals: dict[str, dict], rounds: int, tolerance: float) -> None:
+    """Newton rounds for the multipliers of a bounded number of sources; ``goals`` is filled in place."""
+    spark = lengths.sparkSession
+    for x in goals.values():
         # at the upper end even the shortest document is used as often as allowed
-        state[s] = {"goal": total * p / share, "cap": cap, "mean": mean, "low": -700.0, "high": (math.log(cap) + 1e-9) * mean / supply[s]["shortest"] + 1e-9, "at": 0.0, "done": False}
-        if state[s]["goal"] >= cap * supply[s]["tokens"] * (1 - 1e-12):
-            state[s] |= {"at": state[s]["high"], "done": True}
+        x |= {"low": -700.0, "high": (math.log(x["cap"]) + 1e-9) * x["mean"] / x["shortest"] + 1e-9, "at": 0.0, "done": False, "residual": None}
+        if x["goal"] >= x["most"] * (1 - 1e-12):
+            x |= {"at": x["high"], "done": True, "residual": 0.0}
     for _ in range(rounds):
-        open_ = {s: x for s, x in state.items() if not x["done"]}
+        open_ = {s: x for s, x in goals.items() if not x["done"]}
         if not open_:
-            break
+            return
         table = F.broadcast(_frame(spark, {s: (x["at"], x["mean"], float(x["cap"])) for s, x in open_.items()}, "at double, mean double, cap double"))
         t = F.col("tokens").cast("double")
         rate = _rate(t, F.col("at"), F.col("mean"), F.col("cap"))
         mass = F.col("documents") * t * rate
         slope = F.when(rate < F.col("cap"), mass * t / F.col("mean")).otherwise(0.0)
         for r in lengths.join(table, "source").groupBy("source").agg(F.sum(mass).alias("f"), F.sum(slope).alias("df")).collect():
-            x = state[r["source"]]
+            x = goals[r["source"]]
             gap = r["f"] - x["goal"]
-            if abs(gap) <= tolerance * x["goal"]:
+            x["residual"] = abs(gap) / x["goal"]
+            if x["residual"] <= tolerance:
                 x["done"] = True
                 continue
             x["high" if gap > 0 else "low"] = x["at"]
             step = x["at"] - gap / r["df"] if r["df"] > 0 else math.nan
             x["at"] = step if x["low"] < step < x["high"] else (x["low"] + x["high"]) / 2
-    table = F.broadcast(_frame(spark, {s: (x["at"], x["mean"], x["cap"]) for s, x in state.items()}, "at double, mean double, cap int"))
-    rated = lengths.join(table, "source").withColumn("rate", _rate(F.col("tokens").cast("double"), F.col("at"), F.col("mean"), F.col("cap")))
+    late = {s: x["residual"] for s, x in goals.items() if not x["done"]}
+    if late:
+        raise NotConverged(f"{len(late)} multipliers are not settled after {rounds} rounds; relative residuals such as {dict(list(late.items())[:5])}")
+
+
+class NotConverged(RuntimeError):
+    """The dual was not solved to its tolerance; nothing is mixed with half-solved rates."""
+
+
+def solve_rates(sized: DataFrame, targets: DataFrame, rounds: int = NEWTON_ROUNDS, tolerance: float = TOLERANCE, block: int = SOURCE_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Entropy balancing: (source, tokens, documents, cap, rate) for every length, and (source, goal, cap, mean, multiplier, residual).
+
+    Rates r minimise the entropy relative to using every document once, subject to the tokens of each
+    source being its share of the total and to 0 <= r <= max_repeats. The solution is
+    r = min(max_repeats, exp(multiplier * tokens / mean tokens)); the multipliers solve the convex dual.
+    Each Newton round is one distributed aggregation over lengths, which gives value and derivative for
+    every source; a step outside the bracket found so far is replaced by bisection. A multiplier that
+    is not settled after ``rounds`` raises ``NotConverged``.
+
+    The total is the largest that every source with documents can supply within its repeats. Given the
+    total, the dual falls apart by source; sources are solved in blocks of about ``block``, so the driver
+    holds a bounded number of multipliers whatever their number is. Shares of sources without documents
+    cannot be reached; the others keep their proportions. Documents without tokens or outside the targets
+    have no rate.
+    """
+    spark = sized.sparkSession
+    lengths = checkpointed(sized.where("source is not null and tokens > 0").groupBy("source", "tokens").agg(F.count("*").alias("documents")))
+    supply = lengths.groupBy("source").agg(F.sum(F.col("documents") * F.col("tokens")).alias("supply"), F.sum("documents").alias("n"), F.min("tokens").alias("shortest"))
+    present = checkpointed(supply.join(usable_targets(targets), "source"))
+    row = present.agg(F.count("*").alias("n"), F.sum("share").alias("share"), F.min(F.col("cap") * F.col("supply") / F.col("share")).alias("least")).first()
+    total = row["least"] * row["share"] if row["n"] else 0.0
+    solved, blocks = [], max(1, -(-row["n"] // block))
+    for i in range(blocks):
+        own = present if blocks == 1 else present.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == i)
+        goals = {
+            r["source"]: {"goal": total * r["share"] / row["share"], "cap": r["cap"], "mean": r["supply"] / r["n"], "shortest": r["shortest"], "most": r["cap"] * r["supply"]} for r in own.collect()
+        }
+        _solve_block(lengths, goals, rounds, tolerance)
+        solved.append(_frame(spark, {s: (x["goal"], x["cap"], x["mean"], x["at"], x["residual"]) for s, x in goals.items()}, "goal double, cap int, mean double, multiplier double, residual double"))
+    state = functools.reduce(DataFrame.unionByName, solved)
+    # beyond one block the table of multipliers is left to the measured sizes
+    rated = lengths.join(F.broadcast(state) if blocks == 1 else state, "source").withColumn("rate", _rate(F.col("tokens").cast("double"), F.col("multiplier"), F.col("mean"), F.col("cap")))
     return rated.select("source", "tokens", "documents", "cap", "rate"), state
 
 
@@ -168,7 +187,7 @@ def mix_report(sized: DataFrame, targets: DataFrame, copies: DataFrame) -> DataF
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     full = have.withColumnRenamed("source", "s").join(asked, F.col("s").eqNullSafe(F.col("source")), "full").withColumn("source", F.coalesce("source", "s")).drop("s")
     full = full.join(got.withColumnRenamed("source", "s"), F.col("s").eqNullSafe(F.col("source")), "left")
-    everything = F.sum(F.coalesce("tokens_used", F.lit(0))).over(Window.partitionBy())  # a row per source
+    everything = got.agg(F.sum("tokens_used")).scalar()
     return full.select(
         "source", zero("target_share"), "max_repeats", zero("documents"), zero("tokens"), zero("documents_used"), zero("copies"), zero("most_repeats"), zero("tokens_used"),
         F.coalesce(F.col("tokens_used") / F.nullif(everything, F.lit(0)), F.lit(0.0)).alias("reached_share"),

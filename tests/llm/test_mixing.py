@@ -40,8 +40,10 @@ def test_shares_are_reached_within_a_document(spark):
 def test_rates_solve_the_dual(spark):
     _, docs = corpus(spark)
     rates, state = mixing.solve_rates(docs, targets(spark, [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 4)]))
+    goal = {r["source"]: r["goal"] for r in state.collect()}
+    assert all(r["residual"] <= mixing.TOLERANCE for r in state.collect())
     for r in rates.groupBy("source").agg(F.sum(F.col("documents") * F.col("tokens") * F.col("rate")).alias("mass"), F.max("rate").alias("top"), F.first("cap").alias("cap")).collect():
-        assert r["mass"] == pytest.approx(state[r["source"]]["goal"], rel=1e-6) and r["top"] <= r["cap"]
+        assert r["mass"] == pytest.approx(goal[r["source"]], rel=1e-6) and r["top"] <= r["cap"]
 
 
 def test_equal_lengths_in_one_hot_cell(spark):
@@ -78,3 +80,12 @@ def test_token_counts(spark):
 def test_source_spelling(spark):
     df = spark.createDataFrame([(1, "x y", " Claims "), (2, "z", "CLAIMS"), (3, None, None)], "doc_id int, text string, source string")
     assert [(r["source"], r["tokens"] > 0) for r in mixing.sized_documents(df).orderBy("doc_id").collect()] == [("claims", True), ("claims", True), (None, False)]
+
+
+def test_sources_in_blocks_and_missing_rounds(spark):
+    _, docs = corpus(spark)
+    want = targets(spark, [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 4), (" B", 0.1, 3), ("c", float("nan"), 2), ("d", -1.0, 2), (None, 0.5, 2), ("e", 0.5, 0)])
+    whole = {tuple(r) for r in mixing.solve_rates(docs, want)[0].collect()}
+    assert {tuple(r) for r in mixing.solve_rates(docs, want, block=1)[0].collect()} == whole and {r[0] for r in whole} == {"a", "b", "c"}
+    with pytest.raises(mixing.NotConverged, match="not settled after 1 rounds"):
+        mixing.solve_rates(docs, want, rounds=1)
