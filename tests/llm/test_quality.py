@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fieldlead.llm import quality, segments
@@ -15,9 +16,10 @@ def test_segments_unwrap_and_itemize():
 
 def test_statistics_do_not_depend_on_the_batch():
     texts = ["One sentence is here. Another, with a comma.", "- item\n- item two", "", "x | y | z", "𝒳 \U0001f600 ok", "a" * 50_000]
-    who, chars, x = segments.statistics(texts, {"is", "a"})
+    counts = [(int(h), int(n), int(i)) for h, n, i in zip(*segments.word_counts(texts))]
+    who, chars, x = segments.statistics(texts, segments.Lexicon.of({"is", "a"}, counts))
     for i, t in enumerate(texts):
-        _, c, own = segments.statistics([t], {"is", "a"})
+        _, c, own = segments.statistics([t], segments.Lexicon.of({"is", "a"}, counts))
         assert np.allclose(x[who == i], own) and np.allclose(chars[who == i], c)
     assert x.shape[1] == len(segments.NAMES) and np.isfinite(x).all()
     at = segments.NAMES.index("common_share")
@@ -67,10 +69,23 @@ def test_mixture_finds_planted_components(spark):
     a, b = random.normal(0, 1, (900, d)), random.normal(6, 2, (300, d))
     rows = [(i, np.ones(1, np.float32).tobytes(), x.astype(np.float32).tobytes()) for i, x in enumerate(np.vstack([a, b]))]
     table = spark.createDataFrame(rows, "doc_id bigint, chars binary, x binary").repartition(4)
-    model = quality.fit_mixture(table, {"p": a[:50], "q": b[:50]}, components=2)
+    model = quality.fit_mixture(table, components=2, start_segments=200)
+    assert model.converged
     mean = model.mean * model.scale + model.centre
     assert np.allclose(sorted(model.weight), [0.25, 0.75], atol=0.02)
-    assert np.abs(mean[0]).max() < 0.5 and np.abs(mean[1] - 6).max() < 0.7
+    low, high = sorted(mean, key=lambda m: m.sum())
+    assert np.abs(low).max() < 0.5 and np.abs(high - 6).max() < 0.7
+    with pytest.warns(RuntimeWarning, match="still moves after 1 rounds"):
+        assert not quality.fit_mixture(table, components=2, rounds=1).converged
+
+
+def test_components_are_named_by_inspected_documents():
+    shares = np.array([[0.9, 0.1, 0.0, 0.0], [0.8, 0.2, 0.0, 0.0], [0.9, 0.1, 0.0, 0.0], [0.3, 0.7, 0.0, 0.0], [0.1, 0.1, 0.8, 0.0]])
+    named = quality.name_components(shares, np.array([0, 0, 0, 1, 2]), 4)
+    assert named.argmax(1).tolist() == [0, 1, 2, 3] and (named.sum(1) == 1).all()
+    # the second component stands in prose and in most lists, which come out right only if it is list
+    mixed = np.array([[0.7, 0.3, 0.0]] * 6 + [[0.0, 0.6, 0.4]] * 3 + [[0.0, 0.9, 0.1]] * 3)
+    assert quality.name_components(mixed, np.array([0] * 6 + [1] * 6), 2).argmax(1).tolist() == [0, 1, 1]
 
 
 def test_document_statistics(spark):
@@ -80,3 +95,21 @@ def test_document_statistics(spark):
     r = out[0]
     assert (r["n_words"], r["n_lines"]) == (6, 3) and r["mean_word_length"] == 17 / 6 and r["common_word_share"] == 3 / 6 and r["punctuated_line_share"] == 2 / 3
     assert (out[2]["n_words"], out[2]["mean_word_length"], out[2]["symbol_ratio"]) == (0, None, None)
+
+
+def test_common_words_in_several_sets(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the pump and the valve of nylon")], "doc_id bigint, text string")
+    common = spark.createDataFrame([("en", w) for w in ("The", "and", "of", "cork")] + [("en", None)], "lang string, word string")
+    whole = quality.document_statistics(docs, common).collect()
+    monkeypatch.setattr(quality, "WORD_BLOCK", 1)
+    assert quality.document_statistics(docs, common).collect() == whole and whole[0]["common_word_share"] == 4 / 7
+
+
+def test_words_of_sentences_are_learned_from_all_texts(spark):
+    docs = spark.createDataFrame([(1, "it was lost. it was found."), (2, "- red pump\n- lost pad"), (3, None), (4, ""), (5, "It is")], "doc_id bigint, text string")
+    got = {r[0]: r[1:] for r in quality.frequent_words(docs.repartition(3))}
+    def seen(word):
+        return got[segments._word_hash(word) - (1 << 64 if segments._word_hash(word) >= 1 << 63 else 0)]
+
+    assert seen("it") == (3, 2) and seen("was") == (2, 2) and seen("lost") == (2, 1) and seen("pump") == (1, 0) and len(got) == 8
+    assert quality.frequent_words(docs.where("false")) == []
