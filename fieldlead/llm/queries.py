@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldlead.llm import digest, leaks, mixing, quality, topn
+from fieldlead.llm.buckets import log_bucket
 from fieldlead.operators.inforce import in_force
+from fieldlead.session import checkpointed
 from fieldlead.sources.tables import load
 
 TOP = 3
 #: Words of the pieces that may stand in another order.
 SHORT_TILE = 6
+#: Rank error of the digests that are checked against exact ranks: so coarse that even small tables are compressed.
+COARSE = 0.05
 PERCENTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 
 
@@ -54,6 +60,25 @@ def p6_career_share_per_field(spark: SparkSession, d: str) -> DataFrame:
     return digest.percentiles(digest.build_digest(rows, ["field_id"], "career_median_share"), ["field_id"], PERCENTILES)
 
 
+def p6_compressed_check(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of career_median_share over everything, from merged digests of parts so coarse that they are compressed, against exact ranks.
+
+    ``within``: the value's true ranks reach the wanted rank within ``max_rank_error``; ``compressed``: the digest has fewer nodes than there are different values.
+    """
+    rows = load(spark, d, "task3_career").distinct().select(F.lit("all").alias("everything"), (F.col("career_years") % 4).alias("part"), F.col("career_median_share").alias("v"))
+    merged = checkpointed(digest.merge_digests(digest.build_digest(rows, ["everything", "part"], "v", COARSE), ["everything"], COARSE))
+    got = digest.percentiles(merged, ["everything"], PERCENTILES, COARSE).orderBy("percentile").collect()  # a row per percentile
+    codes = rows.select(log_bucket(F.col("v"), digest.MANTISSA_BITS).alias("c")).where("c is not null").groupBy("c").agg(F.count("*").alias("n"))
+    edges = [log_bucket(F.lit(r["value"]), digest.MANTISSA_BITS) for r in got]
+    exact = codes.agg(F.count("*"), *[F.sum(F.when(test, F.col("n")).otherwise(0)) for e in edges for test in (F.col("c") < e, F.col("c") <= e)]).first()
+    nodes, out = merged.count(), []
+    for i, r in enumerate(got):
+        rank = max(1, math.ceil(r["percentile"] * r["rows"] - 1e-9))
+        off = max(0, exact[1 + 2 * i] + 1 - rank, rank - exact[2 + 2 * i])
+        out.append((r["percentile"], r["rows"], r["max_rank_error"], off <= r["max_rank_error"], nodes < exact[0]))
+    return spark.createDataFrame(out, "percentile double, rows bigint, max_rank_error bigint, within boolean, compressed boolean")
+
+
 # 7. evaluation texts inside training text
 
 
@@ -115,7 +140,7 @@ def p8_document_copies(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_top_inventors, p6_patents_per_year, p6_career_share_per_field, p7_found, p7_reordered, p7_leaked_items, p8_mix_report, p8_mix_check, p8_document_copies,
+        p3_found, p3_top_inventors, p6_patents_per_year, p6_career_share_per_field, p6_compressed_check, p7_found, p7_reordered, p7_leaked_items, p8_mix_report, p8_mix_check, p8_document_copies,
     )
 }
 
@@ -237,3 +262,8 @@ SQL["p8_mix_check"] = f"""
 WITH docs AS (SELECT {_SOURCE.format('source')} AS source FROM documents WHERE text IS NOT NULL AND text <> ''),
 wanted AS (SELECT {_SOURCE.format('source')} AS source, min(max_repeats) AS max_repeats FROM mix_targets WHERE target_share > 0 AND max_repeats >= 1 GROUP BY 1)
 SELECT source, count(*) AS documents, max(max_repeats) AS max_repeats, true AS dual_solved, true AS repeats_kept, true AS share_met FROM docs JOIN wanted USING (source) GROUP BY 1"""
+
+SQL["p6_compressed_check"] = f"""
+WITH numbers AS (SELECT career_median_share AS v FROM (SELECT DISTINCT * FROM task3_career) WHERE career_median_share IS NOT NULL AND NOT isnan(career_median_share))
+SELECT p AS percentile, count(*) AS rows, {digest.tree_levels()} * (count(*) // {digest.compression(COARSE)}) AS max_rank_error, true AS within, count(*) // {digest.compression(COARSE)} >= 2 AS compressed
+FROM numbers, (SELECT unnest([{', '.join(f'{p}::double' for p in PERCENTILES)}]) AS p) GROUP BY p"""
