@@ -32,7 +32,8 @@ def p1_field_totals(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Fields with at least three percent of all delivered rows."""
-    return tree_totals.heavy_keys(p1_field_totals(spark, d), "field_id", HEAVY_PERCENT)
+    rows = tree_totals.tree_totals(load(spark, d, "spine_at_width"), "field_id")
+    return tree_totals.heavy_keys(rows, "field_id", HEAVY_PERCENT)
 
 
 # 2. rows that fail to parse
