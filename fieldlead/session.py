@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,33 +28,18 @@ def local_session(app: str = "fieldlead", cores: int | str = "*", shuffle_partit
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the folder that the cluster shares.
 
-    The folder is the one in ``spark.checkpoint.dir``. Only where that setting is absent (tests on
-    one machine) a temporary folder is set.
+    The folder is the one in ``spark.checkpoint.dir``. Where that setting is absent, a session on one
+    machine (tests) gets a temporary folder; on a cluster that is an error, as executors share no such folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF, None)
+        if not folder and not context.master.startswith("local["):
+            raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that the cluster shares")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldlead-"))
     return df.checkpoint(eager=True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-_shipped: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application; they may run anywhere and know no path of the driver's."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="fieldlead-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
