@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,7 +15,7 @@ REASONS = ("quoting", "column_count", "bad_value")
 
 @dataclass(frozen=True)
 class Rule:
-    """``column`` of ``table`` must satisfy ``check``: ``sequence`` (digits, at most 999) or ``iso_date`` (1900 to 2026)."""
+    """``column`` of ``table`` must satisfy ``check``, a name in ``CHECKS``."""
 
     table: str
     column: str
@@ -39,9 +39,15 @@ def as_iso_date(value: Column) -> Column:
     return F.when(shaped, v.try_cast("date"))
 
 
-def _fails(check: Column, value: Column) -> Column:
-    """True if a present value breaks the named check."""
-    good = F.when(check == "sequence", as_sequence(value).isNotNull()).when(check == "iso_date", as_iso_date(value).isNotNull()).otherwise(F.lit(True))
+#: A check by name: the typed value of a text, null if it stands for none. Another check is another entry.
+CHECKS: dict[str, Callable[[Column], Column]] = {"sequence": as_sequence, "iso_date": as_iso_date}
+
+
+def _fails(check: Column, value: Column, names: Iterable[str]) -> Column:
+    """True if a present value breaks the named check, one of ``names``."""
+    good = F.lit(True)
+    for name in names:
+        good = F.when(check == name, CHECKS[name](value).isNotNull()).otherwise(good)
     return trimmed(value).isNotNull() & ~good
 
 
@@ -109,7 +115,7 @@ def _broken(cells: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Cells (row_id, table, column, value) that break a rule; the rule table is a handful of rows written in the program."""
     table = F.broadcast(rule_table(cells.sparkSession, rules))
     joined = cells.join(table, (cells["cell_table"] == table["rule_table"]) & (cells["cell_column"] == table["rule_column"]))
-    return joined.where(_fails(F.col("rule_check"), F.col("cell_value"))).select("row_id", F.lit("bad_value").alias("reason"))
+    return joined.where(_fails(F.col("rule_check"), F.col("cell_value"), sorted({r.check for r in rules}))).select("row_id", F.lit("bad_value").alias("reason"))
 
 
 def rejected_lines(lines: DataFrame, layouts: dict[str, Sequence[str]], rules: Sequence[Rule], **names: str) -> DataFrame:
@@ -153,5 +159,4 @@ def typed_lines(lines: DataFrame, rejects: DataFrame, target: str, layout: Seque
     kept = without_rejects(lines.where(F.col(f"`{names.get('target', 'target_table')}`") == target), rejects)
     parsed = parse_lines(kept, {target: layout}, **names)
     checks = {r.column: r.check for r in rules if r.table == target}
-    types = {"sequence": as_sequence, "iso_date": as_iso_date}
-    return parsed.select("row_id", *[types.get(checks.get(c, ""), trimmed)(F.col("fields")[i]).alias(c) for i, c in enumerate(layout)])
+    return parsed.select("row_id", *[CHECKS.get(checks.get(c, ""), trimmed)(F.col("fields")[i]).alias(c) for i, c in enumerate(layout)])
