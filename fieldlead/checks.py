@@ -29,7 +29,7 @@ def require(checks: Sequence[Check]) -> Sequence[Check]:
     return checks
 
 
-def check_panel(panel: DataFrame, fields: DataFrame, active: DataFrame, spine: DataFrame, heads: DataFrame, tolerance: float = 1e-9, margins_capped: bool = False) -> list[Check]:
+def check_panel(panel: DataFrame, fields: DataFrame, active: DataFrame, spine: DataFrame, heads: DataFrame, tolerance: float = 1e-9, margins_capped: bool = False, inclusive: bool = True) -> list[Check]:
     """The panel's invariants; five aggregations, whatever its size."""
     per = panel.groupBy("field_id", "year").agg(
         F.sum("share").alias("s"), F.count_if("is_top").alias("tops"), F.count_if((F.col("rank") == 1) & (F.col("n_tied_at_rank") > 1)).alias("tied"),
@@ -50,10 +50,14 @@ def check_panel(panel: DataFrame, fields: DataFrame, active: DataFrame, spine: D
     ).first()
     doubled = panel.groupBy("contributor_id", "field_id", "year").agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*")).first()[0]
     weights = [x.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0] for x in (active, spine)]
+    size = F.col("field_documents")
+    clears = size >= F.col("floor") if inclusive else size > F.col("floor")
     f = fields.agg(
-        F.count("*").alias("n"), F.count_if(F.col("field_documents").isNull()).alias("no_size"), F.count_if(F.col("clears_floor").isNull() | (F.col("clears_floor") != (F.col("field_documents") >= F.col("floor")))).alias("flag")
+        F.count("*").alias("n"), F.count_if(F.col("field_documents").isNull()).alias("no_size"), F.count_if(F.col("clears_floor").isNull() | (F.col("clears_floor") != clears)).alias("flag")
     ).first()
-    covered = heads.select("field_id", "year").join(fields.select("field_id", "year"), ["field_id", "year"], "left_anti").count()
+    key = ["field_id", "year"]
+    lost = panel.select(*key).distinct().join(fields.select(*key), key, "left_anti").count()
+    idle = heads.select(*key).join(fields.select(*key), key, "left_anti").count()
     return [
         Check("shares sum to one", bool(a["n"]) and a["off"] < tolerance, f"{a['n']} field-years, worst deviation {a['off']}" if a["n"] else "NO field-years"),
         Check("shares lie in [0, 1]", bool(a["n"]) and a["lo"] >= 0 and a["hi"] <= 1 + tolerance, f"from {a['lo']} to {a['hi']}"),
@@ -66,10 +70,17 @@ def check_panel(panel: DataFrame, fields: DataFrame, active: DataFrame, spine: D
         Check("keys are unique", doubled == 0, f"{doubled} keys repeated"),
         Check("activity keeps the spine's weight", abs(weights[0] - weights[1]) < 1e-3, f"{weights[0]} against {weights[1]}"),
         Check("floor flags follow the sizes", f["flag"] == 0 and f["no_size"] == 0, f"{f['flag']} flags, {f['no_size']} sizes missing"),
-        Check("field-years with documents are covered", True, f"{covered} field-years have documents and no contributor"),
+        Check("the panel's field-years have sizes", lost == 0, f"{lost} are missing; {idle} field-years have documents and no contributor"),
     ]
 
 
+def check_floor(fields: DataFrame, recomputed: DataFrame) -> Check:
+    """The stored floor of every year against one computed anew from the stored sizes."""
+    again = recomputed.withColumnRenamed("floor", "_again")
+    off = fields.join(F.broadcast(again), "year", "left").where(~F.col("floor").cast("double").eqNullSafe(F.col("_again").cast("double"))).count()  # one row a year
+    return Check("floors follow from the sizes", off == 0, f"{off} field-years carry another floor")
+
+
 def check_cells(cells: Sequence[dict], loose: Sequence[dict], decomposition: Sequence[dict], cutoffs: Sequence[str], span: int) -> list[Check]:
     """Arithmetic of the selection: nesting, monotonicity, bounds. ``cutoffs`` are rule names in ascending order."""
     cell = {(c["rule"], c["with_floor"]): c for c in cells}
@@ -77,7 +88,7 @@ def check_cells(cells: Sequence[dict], loose: Sequence[dict], decomposition: Seq
     nested = [r for r, w in cell if w and (cell[r, True]["pairs"] > cell[r, False]["pairs"] or cell[r, True]["exposure"] > cell[r, False]["exposure"])]
     steps = [(a, b, w) for a, b in zip(cutoffs, cutoffs[1:]) for w in (False, True) if cell[b, w]["pairs"] > cell[a, w]["pairs"] or cell[b, w]["exposure"] > cell[a, w]["exposure"]]
     bounds = [k for k, n in reach.items() if not cell[k]["exposure"] <= n <= span * cell[k]["exposure"]]
-    counts = [k for k, c in cell.items() if c["year_counts"] and sum(map(int, c["year_counts"].split(","))) != c["exposure"]]
+    counts = [k for k, c in cell.items() if c["year_counts"] and sum(int(y) * int(n) for y, n in (x.split(":") for x in c["year_counts"].split(","))) != c["exposure"]]
     order = [d["rule"] for d in decomposition if not d["clears_same_year"] <= d["field_ever_clears"] <= d["pairs"]]
     same = [d["rule"] for d in decomposition if (d["pairs"], d["clears_same_year"]) != (cell[d["rule"], False]["pairs"], cell[d["rule"], True]["pairs"])]
     people = [k for k, c in cell.items() if c["contributors"] > c["pairs"]]

@@ -79,6 +79,14 @@ def check_years(frame: DataFrame | pd.DataFrame, as_of: int, columns: Sequence[s
     return _judge(_measure(df.select(*columns), columns, as_of), as_of, label, require_no_nulls)
 
 
+def summary(frame: DataFrame | pd.DataFrame, as_of: date, columns: Sequence[str]) -> DataFrame:
+    """(column, rows, nulls, late) for date columns, from one pass; counts and does not stop. Late is after the day ``as_of``."""
+    df = _as_spark(frame)
+    _require(df, columns, (DateType, TimestampType, TimestampNTZType), "a date")
+    figures = [F.struct(F.lit(c).alias("column"), F.count("*").alias("rows"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_if(F.to_date(c) > F.lit(as_of)).alias("late")) for c in columns]
+    return df.agg(F.array(*figures).alias("f")).select(F.inline("f"))
+
+
 def check_years_by_row(frame: DataFrame | pd.DataFrame, year: str, as_of: str, label: str) -> Report:
     """No ``year`` after its own row's ``as_of``; a null on either side is never late. ``latest`` is the worst overshoot."""
     df = _as_spark(frame)

@@ -93,6 +93,12 @@ class Ledger:
         empty = (None, None, None)
         self._add("note", name, "", empty, empty, time.time(), text)
 
+    def frame(self, spark: SparkSession) -> DataFrame:
+        """The entries as a table (order, kind, name and the counts)."""
+        names = ("rows_before", "rows_after", "documents_before", "documents_after", "contributors_before", "contributors_after")
+        rows = [(e.order, e.kind, e.name, *[getattr(e, n) for n in names]) for e in self.entries]
+        return spark.createDataFrame(rows, "order int, kind string, name string, " + ", ".join(f"{n} bigint" for n in names))
+
     def finish(self, folder: str | Path) -> list[Path]:
         """Write ``funnel.csv`` and ``diary.md``."""
         out = Path(folder)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TIE_RULES = ("modal_then_earliest", "earliest", "latest", "drop")
 
@@ -99,7 +99,58 @@ def collapse_identities(rows: DataFrame, person: str, order: Sequence, value: st
     return picked.where("_n = 1").drop("_n")
 
 
-def event_ages(events: DataFrame) -> DataFrame:
-    """Ages at the event from loose and strict years; an age below zero is flagged, not dropped."""
-    loose = F.col("event_year") - F.col("loose_year")
-    return events.withColumns({"age_loose": loose, "age_strict": F.col("event_year") - F.col("strict_birth_year"), "age_impossible": loose < 0})
+def linkable(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows whose identity has a person in ``links``: what cannot be attached to a person cannot be used."""
+    return rows.join(links.select("identity_id"), "identity_id", "left_semi")
+
+
+def person_order() -> list[Column]:
+    """Which identity of a person answers for it: one with an event first, then the best score, the earliest year, the most documents, the lower identifier."""
+    return [F.col("has_event").desc(), F.col("event_score").desc_nulls_last(), F.col("event_year").asc_nulls_last(), F.col("documents").desc(), F.col("identity_id").asc()]
+
+
+def person_events(events: DataFrame, links: DataFrame, first: int, last: int) -> DataFrame:
+    """One event per person, from the identities whose event lies in first..last.
+
+    ``events`` as ``consensus`` gives them, ``links`` (identity_id, person). The window comes first: an
+    event outside it never hides one inside. Then the best score, the earliest year and the lower
+    identifier decide; ``identities`` and ``event_year_conflict`` tell what was merged. One aggregation.
+    """
+    inside = events.join(links.select("identity_id", "person"), "identity_id").where(F.col("event_year").between(first, last))
+    rest = [c for c in inside.columns if c != "person"]
+    pick = F.min_by(F.struct(*rest), F.struct((-F.col("best_score")).alias("a"), F.col("event_year").alias("b"), F.col("identity_id").alias("c")))
+    merged = inside.groupBy("person").agg(pick.alias("p"), F.count("*").alias("identities"), (F.min("event_year") != F.max("event_year")).alias("event_year_conflict"))
+    return merged.select("person", *[F.col(f"p.{c}").alias(c) for c in rest], "identities", "event_year_conflict")
+
+
+def event_table(events: DataFrame, people: DataFrame, treated: str = "loose") -> DataFrame:
+    """Events with ages. ``events`` as ``person_events`` gives them, ``people`` one row per person of ``year_table``.
+
+    The loose year of an event is the birth year of its own record, else the person's preferred year; a
+    person who is not among ``people`` has none. ``age`` follows the ``treated`` rule, ``loose`` or
+    ``strict``. An age below zero is flagged, not dropped. ``loose_year_general`` is the year that the
+    person's own row carries; ``general_year_agrees`` tells whether it is the event's (two nulls agree).
+    """
+    if treated not in ("loose", "strict"):
+        raise ValueError(f"unknown rule {treated!r}; known: loose, strict")
+    known = people.select("person", "preferred_year", F.col("loose_year").alias("loose_year_general"), "strict_birth_year", "passes", "min_gap", F.lit(True).alias("_known"))
+    out = events.join(known, "person", "left")
+    own = F.col("record_birth_year")
+    out = out.withColumns({
+        "loose_year": F.when(F.col("_known"), F.coalesce(own, F.col("preferred_year"))),
+        "loose_source": F.when(F.col("_known"), F.when(own.isNotNull(), "event_record").otherwise("sources")),
+    })
+    ages = {kind: F.col("event_year") - F.col(column) for kind, column in (("loose", "loose_year"), ("strict", "strict_birth_year"))}
+    return out.withColumns({
+        "age_loose": ages["loose"], "age_strict": ages["strict"], "age": ages[treated], "age_impossible": ages[treated] < 0,
+        "general_year_agrees": F.col("loose_year_general").eqNullSafe(F.col("loose_year")),
+    }).drop("_known")
+
+
+def event_notes(events: DataFrame, tolerance: int) -> DataFrame:
+    """One row of figures for the notes: events, with an age, impossible ages, within the tolerance, ambiguous years, persons merged, years that conflict or disagree."""
+    return events.agg(
+        F.count("*").alias("events"), F.count("age").alias("with_age"), F.count_if("age_impossible").alias("impossible"), F.count_if(F.col("min_gap") <= tolerance).alias("within_tolerance"),
+        F.count_if("ambiguous").alias("ambiguous"), F.count_if(F.col("identities") > 1).alias("merged"), F.count_if("event_year_conflict").alias("conflicting"),
+        F.count_if(~F.col("general_year_agrees")).alias("general_year_differs"),
+    )

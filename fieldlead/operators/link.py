@@ -102,8 +102,9 @@ def owner(preferred: str = "release") -> tuple[Column, Column]:
 
 
 def tidy_name(name: Column) -> Column:
-    """A surname without case, blanks and punctuation; accents are compared away by collation in ``names_agree``."""
-    return F.regexp_replace(F.lower(F.trim(name)), r"[^\p{L}\p{N}]", "")
+    """A surname in lower case without commas, full stops and a generational suffix; accents are compared away in ``names_agree``."""
+    plain = F.regexp_replace(F.lower(name), "[,.]", "")
+    return F.trim(F.regexp_replace(plain, r"\s+(jr|sr|ii|iii|iv|v)$", ""))
 
 
 def names_agree(left: Column, right: Column) -> Column:
@@ -131,6 +132,52 @@ def require_name_agreement(link: DataFrame, left: DataFrame, right: DataFrame, f
     return row["share"]
 
 
+def both_name_agreements(owners: DataFrame, left: DataFrame, right: DataFrame, preferred: str, floor: float, label: str) -> dict[str, float | None]:
+    """Share of agreeing names for each route and for the owners; stops if the owners, the route in use, fall below ``floor``.
+
+    ``owners``: identity_id, release_contributor, coordinate_contributor. Neither route reads a name, so
+    names test both.
+    """
+    chosen, _ = owner(preferred)
+    routes = {"release": F.col("release_contributor"), "coordinate": F.col("coordinate_contributor")}
+    shares = {}
+    for name, contributor in routes.items():
+        one = owners.select("identity_id", contributor.alias("contributor_id")).where("contributor_id is not null")
+        shares[name] = name_agreement(one, left, right).first()["share"]
+    used = owners.select("identity_id", chosen.alias("contributor_id")).where("contributor_id is not null")
+    shares["owner"] = require_name_agreement(used, left, right, floor, label)
+    return shares
+
+
+def same_vintage(link: DataFrame, agreement: DataFrame, required: bool) -> DataFrame:
+    """Links with their ``agreement`` verdict; if ``required``, only those whose documents are identical on both sides."""
+    out = link.join(agreement.select("identity_id", "contributor_id", "agreement"), ["identity_id", "contributor_id"], "left")
+    return out.where(F.col("agreement") == "identical") if required else out
+
+
+def anchor_agreement(release: DataFrame, listings: DataFrame, current: str) -> DataFrame:
+    """One row: slots compared, agreeing ones, share - whether column ``current`` of a release table is the release of ``listings``.
+
+    ``release`` has doc_id, sequence and a column per release, ``listings`` doc_id, sequence and
+    contributor_id. Slots whose ``current`` is blank are left out.
+    """
+    now = release.select("doc_id", F.col("sequence").cast("int").alias("sequence"), F.nullif(F.col(f"`{current}`").cast("string"), F.lit("")).alias("_now")).where("_now is not null")
+    both = now.join(listings.select("doc_id", F.col("sequence").cast("int").alias("sequence"), F.col("contributor_id").cast("string").alias("_listed")), ["doc_id", "sequence"])
+    row = both.agg(F.count("*").alias("compared"), F.count_if(F.col("_now") == F.col("_listed")).alias("agreeing"))
+    return row.withColumn("share", F.try_divide(F.col("agreeing"), F.col("compared")))
+
+
+def require_anchor(release: DataFrame, listings: DataFrame, current: str, prefix: str, floor: float = 0.99) -> float:
+    """Stop unless ``current`` is there and holds, on ``floor`` of the slots, the contributor that is listed now."""
+    require_release(release, current, prefix)
+    row = anchor_agreement(release, listings, current).first()
+    if not row["compared"]:
+        raise ValueError(f"{current!r} shares no slot with the listings; one of the two is another file than it should be")
+    if row["share"] < floor:
+        raise ValueError(f"{current!r} holds the listed contributor on {row['agreeing']:,} of {row['compared']:,} slots ({row['share']:.2%}), below {floor:.0%}: it is another release; releases here: {release_columns(release, prefix)}")
+    return row["share"]
+
+
 def same_slot(listings: DataFrame) -> DataFrame:
     """Listings with their place on the document counted from 0."""
     order = Window.partitionBy("doc_id").orderBy("sequence", "contributor_id")

@@ -43,7 +43,7 @@ def levels(rows: DataFrame) -> DataFrame:
     down = whole.orderBy(F.desc("weight"))
     above = F.coalesce(F.sum("n_tied").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = counts.withColumn("rank_competition", above + 1).withColumn("rank_dense", F.row_number().over(down).cast("bigint"))
-    out = out.withColumn("field_weight", F.sum(F.col("weight") * F.col("n_tied")).over(whole)).withColumn("top", F.max("weight").over(whole))
+    out = out.withColumn("field_weight", F.sum(F.col("weight") * F.col("n_tied")).over(whole)).withColumn("top", F.max("weight").over(whole)).withColumn("contributors", F.sum("n_tied").over(whole))
     second = F.max(F.when(F.col("rank_dense") == 2, F.col("weight"))).over(whole)
     top_tied = F.max(F.when(F.col("rank_dense") == 1, F.col("n_tied"))).over(whole)
     return out.withColumn("second_distinct", second).withColumn("second_row", F.when(top_tied > 1, F.col("top")).otherwise(F.col("second_distinct")))
@@ -93,6 +93,18 @@ def field_years(rows: DataFrame, heads: DataFrame) -> DataFrame:
     return per.join(heads, ["field_id", "year"], "left")
 
 
+def field_years_from_levels(weights: DataFrame, heads: DataFrame, span: int, margin_cap: float | None = None) -> DataFrame:
+    """The same from ``levels``: a field-year's distinct weights tell all of it, and no contributor is touched again."""
+    def margin(second: str) -> Column:
+        return F.col("top") / F.col(second) if margin_cap is None else F.coalesce(F.col("top") / F.col(second), F.lit(margin_cap))
+
+    first = weights.where("rank_dense = 1").select(
+        "field_id", "year", (F.col("year") - (span - 1)).alias("window_first_year"), "field_weight", (F.col("top") / F.col("field_weight")).alias("top_share"), F.col("n_tied").alias("n_tied_at_top"),
+        margin("second_row").alias("margin"), F.col("second_row").isNotNull().alias("has_runner_up"), margin("second_distinct").alias("margin_dense"), F.col("second_distinct").isNotNull().alias("has_dense_runner_up"), "contributors",
+    )
+    return first.join(heads, ["field_id", "year"], "left")
+
+
 def floors(fields: DataFrame, mode: str, value: float, first: int | None = None, last: int | None = None) -> DataFrame:
     """(year, floor) for every year in ``fields``: a constant, a percentile of all measured years, or one per year."""
     years = fields.select("year").distinct()

@@ -49,6 +49,13 @@ def pool(panel: DataFrame, fields: DataFrame, rules: Sequence[Rule], first: int,
     return kept.join(sizes, ["field_id", "year"], "left")
 
 
+def outside_pool(panel: DataFrame, rules: Sequence[Rule], first: int, last: int) -> DataFrame:
+    """One row: panel rows below the pool's lowest share, and how many of them a rule could select; 0 proves that the bound does not bind."""
+    low = min(r.min_share for r in rules)
+    rows = panel.where(F.col("year").between(first, last) & ~reaches("share", low))
+    return rows.agg(F.count("*").alias("below"), F.count_if(F.array_contains(F.array(*[F.coalesce(r.test(), F.lit(False)) for r in rules]), True)).alias("selectable"))
+
+
 def pool_faults(candidates: DataFrame) -> DataFrame:
     """One row: unmatched field-years, missing sizes, missing flags, windows that differ; all must be 0."""
     return candidates.agg(
@@ -57,14 +64,15 @@ def pool_faults(candidates: DataFrame) -> DataFrame:
     )
 
 
-def flagged(candidates: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Candidates with one boolean per rule and whether the field clears its floor in any year."""
-    ever = F.bool_or("clears_floor").over(Window.partitionBy("field_id"))
-    return candidates.withColumn("field_ever_clears", ever).select("*", *[r.test().alias(r.name) for r in rules])
+def field_ever_clears(fields: DataFrame, first: int, last: int) -> DataFrame:
+    """Per field: whether it clears its floor in any year of first..last, over all its field-years, with candidates or without."""
+    return fields.where(F.col("year").between(first, last)).groupBy("field_id").agg(F.bool_or("clears_floor").alias("ever_clears"))
 
 
-def field_ever_clears(fields: DataFrame) -> DataFrame:
-    return fields.groupBy("field_id").agg(F.bool_or("clears_floor").alias("ever_clears"))
+def flagged(candidates: DataFrame, rules: Sequence[Rule], ever: DataFrame) -> DataFrame:
+    """Candidates with one boolean per rule and ``field_ever_clears``, from a table of one row per field."""
+    flags = candidates.join(ever.withColumnRenamed("ever_clears", "field_ever_clears"), "field_id", "left")
+    return flags.select("*", *[r.test().alias(r.name) for r in rules])
 
 
 def qualifying(candidates: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -86,31 +94,57 @@ def both_floors(hits: DataFrame) -> DataFrame:
 
 
 def pair_spells(hits: DataFrame) -> DataFrame:
-    """Per rule, floor setting and pair: years, first and last year, medians of size and documents."""
+    """Per rule, floor setting and pair: years, first and last year, the years themselves, medians of size and documents; a pair has a bounded number of years."""
     return both_floors(hits).groupBy("rule", "with_floor", *PAIR).agg(
-        F.count("*").alias("years"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.median("documents").alias("documents"), F.median("field_documents").alias("field_documents")
+        F.count("*").alias("years"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.array_sort(F.collect_list("year")).alias("qualifying"), F.median("documents").alias("documents"), F.median("field_documents").alias("field_documents")
     )
 
 
+def _middle(values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Exact medians of (keys, measure, value): values are counted with map-side combine first, so a cell of any size meets as its distinct values.
+
+    Columns: keys, measure, median.
+    """
+    group = [*keys, "measure"]
+    counts = values.where("value is not null").groupBy(*group, "value").agg(F.count("*").alias("n"))
+    by = Window.partitionBy(*group)
+    reach = counts.withColumn("_to", F.sum("n").over(by.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(by))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    hit = lambda place: F.max(F.when((F.col("_to") >= place) & (F.col("_to") - F.col("n") < place), F.col("value")))
+    return reach.groupBy(*group).agg(((hit(low) + hit(high)) / 2).alias("median"))
+
+
 def cells(hits: DataFrame, career: DataFrame, rules: Sequence[Rule], first: int, last: int) -> DataFrame:
     """All cells (rule x floor setting) from one pass: pairs, contributors, exposure, persistence.
 
-    A cell without pairs is a row with zeros and null medians.
+    ``year_counts`` lists how many pairs have how many qualifying years ('1:40,2:7'). A cell without pairs
+    is a row with zeros and null medians. Counts and sums are combined before the shuffle, contributors are
+    made distinct first, and medians come from counts of values: no task holds a cell's pairs.
     """
+    cell = ["rule", "with_floor"]
     cut = F.element_at(F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.min_share))]), F.col("rule"))
-    spells = pair_spells(hits).join(career, PAIR, "left")
     inside = (F.col("first_year") > first) & (F.col("last_year") < last)
-    got = spells.groupBy("rule", "with_floor").agg(
-        F.count("*").alias("pairs"), F.count_distinct("contributor_id").alias("contributors"), F.sum("years").alias("exposure"), F.median("years").alias("median_years"),
-        F.min("years").alias("min_years"), F.max("years").alias("max_years"), F.count_if(F.col("last_year") - F.col("first_year") + 1 == F.col("years")).alias("contiguous"),
-        F.count_if(~inside).alias("edge_touching"), F.median(F.when(inside, F.col("years"))).alias("median_years_interior"), F.median("documents").alias("median_documents"),
-        F.median("field_documents").alias("median_field_documents"), F.median("career_median_share").alias("median_career_share"),
-        F.count_if(reaches("career_median_share", cut)).alias("career_above_cutoff"), F.array_join(F.array_sort(F.collect_list("years")), ",").alias("year_counts"),
+    spells = pair_spells(hits).join(career, PAIR, "left")
+    totals = spells.groupBy(*cell, "contributor_id").agg(
+        F.count("*").alias("pairs"), F.sum("years").alias("exposure"), F.min("years").alias("min_years"), F.max("years").alias("max_years"),
+        F.count_if(F.col("last_year") - F.col("first_year") + 1 == F.col("years")).alias("contiguous"), F.count_if(~inside).alias("edge_touching"),
+        F.count_if(reaches("career_median_share", cut)).alias("career_above_cutoff"),
+    ).groupBy(*cell).agg(
+        F.count("*").alias("contributors"), *[F.sum(c).alias(c) for c in ("pairs", "exposure", "contiguous", "edge_touching", "career_above_cutoff")], F.min("min_years").alias("min_years"), F.max("max_years").alias("max_years")
     )
-    spark = hits.sparkSession
-    frame = spark.createDataFrame([(r.name, w) for r in rules for w in (False, True)], "rule string, with_floor boolean")
+    medians = {
+        "median_years": F.col("years"), "median_years_interior": F.when(inside, F.col("years")), "median_documents": F.col("documents"), "median_field_documents": F.col("field_documents"),
+        "median_career_share": F.col("career_median_share"),
+    }
+    values = spells.select(*cell, F.explode(F.create_map(*[x for n, c in medians.items() for x in (F.lit(n), c.cast("double"))])).alias("measure", "value"))
+    middle = _middle(values, cell).groupBy(*cell).agg(*[F.max(F.when(F.col("measure") == n, F.col("median"))).alias(n) for n in medians])
+    lengths = spells.groupBy(*cell, "years").agg(F.count("*").alias("n"))  # at most one row per number of years
+    counts = lengths.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("years", "n"))).alias("c"))
+    counts = counts.select(*cell, F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["years"].cast("string"), x["n"].cast("string"))), ",").alias("year_counts"))
+    frame = hits.sparkSession.createDataFrame([(r.name, w) for r in rules for w in (False, True)], "rule string, with_floor boolean")
     zeros = ("pairs", "contributors", "exposure", "contiguous", "edge_touching", "career_above_cutoff")
-    return frame.join(got, ["rule", "with_floor"], "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zeros} | {"year_counts": F.coalesce("year_counts", F.lit(""))})
+    out = frame.join(totals, cell, "left").join(middle, cell, "left").join(counts, cell, "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zeros} | {"year_counts": F.coalesce("year_counts", F.lit(""))})
 
 
 def loose_exposure(hits: DataFrame, span: int, first: int, last: int) -> DataFrame:
@@ -139,13 +173,14 @@ def exclusions(candidates: DataFrame, rule: Rule) -> DataFrame:
     return rows.agg(*[F.count_if(t).alias(n) for n, t in tests.items()], *[F.count_if(t & clears).alias(f"{n}_above_floor") for n, t in tests.items() if n != "small_margin"])
 
 
-def size_summary(fields: DataFrame, first: int, last: int) -> DataFrame:
-    """One row about field sizes in the measured years."""
+def size_summary(fields: DataFrame, first: int, last: int, span: int = 1, cutoff: float = 1.0) -> DataFrame:
+    """One row about field sizes in the years first..last; ``cutoff_in_documents`` is what a share of ``cutoff`` means in a median field."""
     rows = fields.where(F.col("year").between(first, last))
     weighted = F.sum(F.when(F.col("clears_floor"), F.col("field_documents"))) / F.sum("field_documents")
     return rows.agg(
         F.count("*").alias("field_years"), F.count_if("clears_floor").alias("above_floor"), F.median("field_documents").alias("median_documents"),
         F.median(F.when(F.col("clears_floor"), F.col("field_documents"))).alias("median_above_floor"), F.coalesce(weighted, F.lit(0.0)).alias("document_share_above_floor"),
+        F.min("floor").alias("lowest_floor"), F.max("floor").alias("highest_floor"), (F.median("field_documents") / span).alias("median_documents_per_year"), (F.median("field_documents") * cutoff).alias("cutoff_in_documents"),
     )
 
 
@@ -176,6 +211,12 @@ def filing_years_behind(hits: DataFrame, active: DataFrame, span: int) -> DataFr
     return behind.join(filed, [*PAIR, "filed"], "left_semi").groupBy(*PAIR).agg(F.count("*").alias("filing_years"))
 
 
+def filing_year_summary(per_pair: DataFrame, span: int) -> DataFrame:
+    """One row: pairs, median filing years, pairs with a single one, pairs with ``span`` or more."""
+    years = F.col("filing_years")
+    return per_pair.agg(F.count("*").alias("pairs"), F.median("filing_years").alias("median_filing_years"), F.count_if(years == 1).alias("one_filing_year"), F.count_if(years >= span).alias("span_or_more"))
+
+
 def at_least_curve(spells: DataFrame, most: int) -> DataFrame:
     """Share of pairs with at least k qualifying years, k = 1..most, per rule and floor setting."""
     steps = spells.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most))))

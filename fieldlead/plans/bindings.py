@@ -10,6 +10,8 @@ from fieldlead.sources.tables import load
 SPAN = 3
 FIRST_YEAR, LAST_YEAR = 1995, 2000
 FIRST_WINDOW, LAST_WINDOW = 1997, 2000
+#: Years in which events are studied: fewer than the measured ones.
+FIRST_EVENT, LAST_EVENT = 1998, 1999
 #: Widths of the product codes: type, type and brand, type, brand and size.
 BROAD, MIDDLE, NARROW = "broad", "middle", "narrow"
 
@@ -80,12 +82,15 @@ def heads(spark: SparkSession, d: str, width: str = MIDDLE) -> DataFrame:
 
 
 def field_years(spark: SparkSession, d: str, width: str = MIDDLE, rows: DataFrame | None = None) -> DataFrame:
-    return panel.field_years(panel_rows(spark, d, width) if rows is None else rows, heads(spark, d, width))
+    """Field-years; from the distinct weights alone where no panel (``rows``) is at hand."""
+    if rows is None:
+        return panel.field_years_from_levels(panel.levels(windowed(spark, d, width)), heads(spark, d, width), SPAN)
+    return panel.field_years(rows, heads(spark, d, width))
 
 
 def floored(spark: SparkSession, d: str, width: str = MIDDLE, mode: str = "per_year", value: float = 50.0, rows: DataFrame | None = None) -> DataFrame:
     years = field_years(spark, d, width, rows)
-    return panel.with_floor(years, panel.floors(years, mode, value, FIRST_WINDOW, LAST_WINDOW))
+    return panel.with_floor(years, panel.floors(years, mode, value, FIRST_EVENT, LAST_EVENT))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -97,11 +102,16 @@ def cited(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").where("p_size <= 25").select(F.col("p_partkey").alias("doc_id"))
 
 
-def citing_dates(spark: SparkSession, d: str) -> DataFrame:
-    """First order day of the suppliers with a positive balance; the others' dates are unknown."""
+def citing_grants(spark: SparkSession, d: str) -> DataFrame:
+    """First shipping day of the suppliers with a positive balance; the others' grants are unknown."""
     known = load(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("doc_id"))
     lines = load(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.to_date("l_shipdate").alias("day"))
-    return lines.join(known, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("day").alias("filing_date"))
+    return lines.join(known, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("day").alias("grant_date"))
+
+
+def citing_universe(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of the nations with an even number as documents of the universe; the number makes the year."""
+    return load(spark, d, "supplier").where("s_nationkey % 2 = 0").select(F.col("s_suppkey").alias("doc_id"), (F.lit(1970) + F.col("s_nationkey")).alias("year"))
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
@@ -130,6 +140,13 @@ def release_pairs(spark: SparkSession, d: str) -> DataFrame:
     return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("identity_id", "contributor_id")
 
 
+def people(spark: SparkSession, d: str) -> DataFrame:
+    """(identity_id, person): the current contributor of each old identity."""
+    from fieldlead.operators.link import release_link
+
+    return release_link(release_pairs(spark, d)).select("identity_id", F.col("contributor_id").alias("person"))
+
+
 def identity_documents(spark: SparkSession, d: str) -> DataFrame:
     """(identity_id, doc_id): a customer's products."""
     orders = load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("identity_id"))

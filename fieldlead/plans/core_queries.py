@@ -8,10 +8,13 @@ lie exactly at one half and float noise would decide), others as they are.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fieldlead.functions.columns import repaired_id
+from fieldlead import guard, report
+from fieldlead.functions.columns import reads_as_one, repaired_id
+from fieldlead.ledger import Ledger
 from fieldlead.operators import edges, evidence, fields, link, panel, rejects, selection, spine
 from fieldlead.operators.inforce import in_force
 from fieldlead.plans import bindings as b
@@ -23,6 +26,7 @@ CUTOFFS = (0.05, 0.1, 0.25)
 RULES = selection.rule_list(CUTOFFS, max_rank=1, min_margin=1.5, min_share=0.05)
 MIN_SCORE = 1
 TOLERANCE = 3
+ELIGIBLE_SCORE = 1
 PERCENTILE = 50.0
 FLOOR = 25.0
 
@@ -147,7 +151,7 @@ def _hits(width: str = b.MIDDLE) -> str:
     return f"""{_floor(_PER_YEAR, width)},
 pool AS (
   SELECT p.*, f.window_first_year AS size_first_year, f.field_documents, f.clears_floor FROM panel p LEFT JOIN floored f ON f.field_id = p.field_id AND f.year = p.year
-  WHERE p.year BETWEEN {b.FIRST_WINDOW} AND {b.LAST_WINDOW} AND round(share, 12) >= {_LOW}),
+  WHERE p.year BETWEEN {b.FIRST_EVENT} AND {b.LAST_EVENT} AND round(share, 12) >= {_LOW}),
 hits AS ({each}),
 both_ AS (SELECT *, false AS with_floor FROM hits UNION ALL SELECT *, true FROM hits WHERE clears_floor),
 career AS (
@@ -162,7 +166,7 @@ def _hit_rows(spark: SparkSession, d: str, width: str = b.MIDDLE) -> tuple[DataF
     # read three times: by the field-years, by the pool and by the careers
     rows = checkpointed(b.panel_rows(spark, d, width))
     years = b.floored(spark, d, width, rows=rows)
-    candidates = selection.pool(rows, years, RULES, b.FIRST_WINDOW, b.LAST_WINDOW)
+    candidates = selection.pool(rows, years, RULES, b.FIRST_EVENT, b.LAST_EVENT)
     return selection.qualifying(candidates, RULES), rows, years
 
 
@@ -186,11 +190,11 @@ def _universe_by_grant(spark, d):
     """WITH newest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patent_id ORDER BY load_date DESC, row_id DESC) AS n FROM patents_01 WHERE patent_id IS NOT NULL) WHERE n = 1)
 SELECT patent_id, patent_type, year(grant_date) AS year FROM newest
-WHERE patent_type IN ('utility', 'reissue') AND coalesce(try_cast(trim(withdrawn) AS int), 0) = 0 AND year(grant_date) BETWEEN 1980 AND 2022""",
+WHERE patent_type IN ('utility', 'reissue') AND NOT coalesce(try_cast(trim(withdrawn) AS double) = 1, false) AND year(grant_date) BETWEEN 1980 AND 2022""",
 )
 def _universe_patents(spark, d):
     rows = in_force(load(spark, d, "patents_01").where("patent_id is not null").select("row_id", "load_date", "patent_id", "patent_type", "withdrawn", "grant_date"), ["patent_id"])
-    docs = rows.select(F.col("patent_id").alias("doc_id"), F.col("patent_type").alias("doc_type"), F.expr("try_cast(trim(withdrawn) as int)").alias("withdrawn"), F.lit(None).cast("date").alias("filing_date"), "grant_date")
+    docs = rows.select(F.col("patent_id").alias("doc_id"), F.col("patent_type").alias("doc_type"), reads_as_one(F.col("withdrawn")).cast("int").alias("withdrawn"), F.lit(None).cast("date").alias("filing_date"), "grant_date")
     return spine.universe(docs, 1980, 2022, ["utility", "reissue"], date_by="grant").select(F.col("doc_id").alias("patent_id"), F.col("doc_type").alias("patent_type"), "year")
 
 
@@ -300,7 +304,7 @@ _FLOOR_SPEC = "field_id year:i field_documents:i floor:f clears_floor"
 _query("floor_absolute", _FLOOR_SPEC, f"WITH {_floor(f'SELECT DISTINCT year, {FLOOR}::double AS floor FROM field_years')}\nSELECT * FROM floored")(lambda s, d: b.floored(s, d, mode="absolute", value=FLOOR))
 _query(
     "floor_pooled_percentile", _FLOOR_SPEC,
-    f"WITH {_floor(f'SELECT DISTINCT year, (SELECT quantile_cont(field_documents, {PERCENTILE / 100}) FROM field_years WHERE year BETWEEN {b.FIRST_WINDOW} AND {b.LAST_WINDOW}) AS floor FROM field_years')}\nSELECT * FROM floored",
+    f"WITH {_floor(f'SELECT DISTINCT year, (SELECT quantile_cont(field_documents, {PERCENTILE / 100}) FROM field_years WHERE year BETWEEN {b.FIRST_EVENT} AND {b.LAST_EVENT}) AS floor FROM field_years')}\nSELECT * FROM floored",
 )(lambda s, d: b.floored(s, d, mode="pooled", value=PERCENTILE))
 _query("floor_per_year_percentile", _FLOOR_SPEC, f"WITH {_floor(_PER_YEAR)}\nSELECT * FROM floored")(lambda s, d: b.floored(s, d))
 
@@ -331,47 +335,47 @@ def flagship(spark, d):
 
 _EDGES = """
 parts AS (SELECT p_partkey FROM part WHERE p_size <= 25),
-dates AS (SELECT l_suppkey AS citing_id, min(CAST(l_shipdate AS date)) AS citing_date FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1),
+grants AS (SELECT l_suppkey AS citing_id, min(CAST(l_shipdate AS date)) AS citing_grant_date FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1),
 received AS (
-  SELECT e.citing_id, e.cited_id, nullif(trim(e.category), '') AS category, citing_date
+  SELECT e.citing_id, e.cited_id, nullif(trim(e.category), '') AS category, citing_grant_date, year(citing_grant_date) AS citing_grant_year, CASE WHEN s_nationkey % 2 = 0 THEN 1970 + s_nationkey END AS citing_application_year
   FROM (SELECT l_suppkey AS citing_id, l_partkey AS cited_id, CASE WHEN l_returnflag = 'N' THEN ' ' ELSE l_returnflag END AS category FROM lineitem) e
-  LEFT JOIN dates d ON d.citing_id = e.citing_id WHERE e.cited_id IN (SELECT p_partkey FROM parts))"""
+  LEFT JOIN grants d ON d.citing_id = e.citing_id LEFT JOIN supplier ON s_suppkey = e.citing_id WHERE e.cited_id IN (SELECT p_partkey FROM parts))"""
 _CONFLICT = "min(category) IS DISTINCT FROM max(category)"
 _FLAG = {
     "any_examiner": "bool_or(category = 'R')",
     "all_examiner": "bool_and(category = 'R')",
     "drop_conflicts": f"CASE WHEN {_CONFLICT} THEN NULL ELSE bool_or(category = 'R') END",
 }
-_EDGE_SPEC = "citing_id:i cited_id:i category conflicted by_examiner records:i"
+_EDGE_SPEC = "citing_id:i cited_id:i citing_grant_date citing_grant_year:i citing_application_year:i category conflicted by_examiner records:i"
 
 
 def _received(spark: SparkSession, d: str) -> DataFrame:
-    return edges.edges_received(b.edges(spark, d), b.citing_dates(spark, d), b.cited(spark, d))
+    return edges.edges_received(b.edges(spark, d), b.citing_grants(spark, d), b.citing_universe(spark, d), b.cited(spark, d))
 
 
-_query("edges_received", "citing_id:i cited_id:i category citing_date", f"WITH {_EDGES}\nSELECT * FROM received")(_received)
+_query("edges_received", "citing_id:i cited_id:i category citing_grant_date citing_grant_year:i citing_application_year:i", f"WITH {_EDGES}\nSELECT * FROM received")(_received)
 for _r, _f in _FLAG.items():
     _query(
         f"edges_dedup_{_r.split('_')[0]}", _EDGE_SPEC,
-        f"WITH {_EDGES}\nSELECT citing_id, cited_id, CASE WHEN {_CONFLICT} THEN NULL ELSE min(category) END AS category, {_CONFLICT} AS conflicted, {_f} AS by_examiner, count(*) AS records FROM received GROUP BY 1, 2",
+        f"WITH {_EDGES}\nSELECT citing_id, cited_id, any_value(citing_grant_date) AS citing_grant_date, any_value(citing_grant_year) AS citing_grant_year, any_value(citing_application_year) AS citing_application_year, CASE WHEN {_CONFLICT} THEN NULL ELSE min(category) END AS category, {_CONFLICT} AS conflicted, {_f} AS by_examiner, count(*) AS records FROM received GROUP BY 1, 2",
     )(lambda s, d, r=_r: edges.collapse_edges(_received(s, d), r, "R"))
-_query("edges_raw_schema", _EDGE_SPEC, f"WITH {_EDGES}\nSELECT citing_id, cited_id, category, false AS conflicted, category = 'R' AS by_examiner, 1 AS records FROM received")(lambda s, d: edges.raw_edges(_received(s, d), "R"))
+_query("edges_raw_schema", _EDGE_SPEC, f"WITH {_EDGES}\nSELECT citing_id, cited_id, citing_grant_date, citing_grant_year, citing_application_year, category, false AS conflicted, category = 'R' AS by_examiner, 1 AS records FROM received")(lambda s, d: edges.raw_edges(_received(s, d), "R"))
 
 _ALL_EDGES = _EDGES.replace(" WHERE p_size <= 25", "")
 
 
 def _received_whole(spark: SparkSession, d: str) -> DataFrame:
     """Edges to any product; the queries above keep half of the products as their cited universe."""
-    return edges.edges_received(b.edges(spark, d), b.citing_dates(spark, d), load(spark, d, "part").select(F.col("p_partkey").alias("doc_id")))
+    return edges.edges_received(b.edges(spark, d), b.citing_grants(spark, d), b.citing_universe(spark, d), load(spark, d, "part").select(F.col("p_partkey").alias("doc_id")))
 
 
-_query("edges_received_whole", "citing_id:i cited_id:i category citing_date", f"WITH {_ALL_EDGES}\nSELECT * FROM received")(_received_whole)
+_query("edges_received_whole", "citing_id:i cited_id:i category citing_grant_date citing_grant_year:i citing_application_year:i", f"WITH {_ALL_EDGES}\nSELECT * FROM received")(_received_whole)
 for _r, _f in _FLAG.items():
     _query(
         f"edges_dedup_{_r.split('_')[0]}_whole", _EDGE_SPEC,
-        f"WITH {_ALL_EDGES}\nSELECT citing_id, cited_id, CASE WHEN {_CONFLICT} THEN NULL ELSE min(category) END AS category, {_CONFLICT} AS conflicted, {_f} AS by_examiner, count(*) AS records FROM received GROUP BY 1, 2",
+        f"WITH {_ALL_EDGES}\nSELECT citing_id, cited_id, any_value(citing_grant_date) AS citing_grant_date, any_value(citing_grant_year) AS citing_grant_year, any_value(citing_application_year) AS citing_application_year, CASE WHEN {_CONFLICT} THEN NULL ELSE min(category) END AS category, {_CONFLICT} AS conflicted, {_f} AS by_examiner, count(*) AS records FROM received GROUP BY 1, 2",
     )(lambda s, d, r=_r: edges.collapse_edges(_received_whole(s, d), r, "R"))
-_query("edges_raw_schema_whole", _EDGE_SPEC, f"WITH {_ALL_EDGES}\nSELECT citing_id, cited_id, category, false AS conflicted, category = 'R' AS by_examiner, 1 AS records FROM received")(lambda s, d: edges.raw_edges(_received_whole(s, d), "R"))
+_query("edges_raw_schema_whole", _EDGE_SPEC, f"WITH {_ALL_EDGES}\nSELECT citing_id, cited_id, citing_grant_date, citing_grant_year, citing_application_year, category, false AS conflicted, category = 'R' AS by_examiner, 1 AS records FROM received")(lambda s, d: edges.raw_edges(_received_whole(s, d), "R"))
 
 # ---------------------------------------------------------------- links
 
@@ -472,7 +476,11 @@ def _anchor_split(spark, d):
 _RECORDS = f"""
 records AS (
   SELECT user_id AS identity_id, event_type AS source, CAST(floor(value / 100) AS bigint) AS score, day(ts) AS event_year, CAST(ts AS date) AS event_date, nullif(hour(ts), 0) AS birth_year FROM events),
-usable AS (SELECT * FROM records WHERE event_year > 0 AND score >= {MIN_SCORE}),
+owners AS (
+  SELECT identity_id, contributor_id AS person FROM (
+    SELECT o_custkey AS identity_id, l_suppkey AS contributor_id, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, l_suppkey) AS place
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) WHERE place = 1),
+usable AS (SELECT * FROM records WHERE event_year > 0 AND score >= {MIN_SCORE} AND identity_id IN (SELECT identity_id FROM owners)),
 at_best AS (SELECT identity_id, score, event_year, count(*) AS n, min(event_date) AS event_date, min(birth_year) AS birth_year FROM (
   SELECT *, max(score) OVER (PARTITION BY identity_id) AS best FROM usable) WHERE score = best GROUP BY 1, 2, 3),
 years AS (
@@ -480,7 +488,8 @@ years AS (
     SELECT identity_id, max(p) AS preferred_year, max(s) AS best_score, count(y) AS with_year, count(*) FILTER (WHERE y = p) AS backing FROM (
       SELECT r.identity_id, r.source, max(score) AS s, max(birth_year) AS y, max(max(birth_year)) OVER (PARTITION BY r.identity_id) AS p
       FROM (SELECT identity_id, source, score, birth_year FROM records WHERE source IN ('click', 'purchase', 'view', 'signup')
-            UNION ALL SELECT identity_id, 'all', NULL, birth_year FROM records) r GROUP BY 1, 2) WHERE source <> 'all' GROUP BY 1))"""
+            UNION ALL SELECT identity_id, 'all', NULL, birth_year FROM records) r GROUP BY 1, 2) WHERE source <> 'all' GROUP BY 1)),
+eligible AS (SELECT * FROM years WHERE preferred_year IS NOT NULL AND best_score > {ELIGIBLE_SCORE} AND identity_id IN (SELECT identity_id FROM owners))"""
 _ORDER = {"modal_then_earliest": "n DESC, event_year", "earliest": "event_year", "latest": "event_year DESC", "drop": "event_year"}
 
 
@@ -493,75 +502,113 @@ events_ AS (
 
 
 def _usable(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.usable_records(b.records(spark, d), MIN_SCORE)
+    return evidence.linkable(evidence.usable_records(b.records(spark, d), MIN_SCORE), b.people(spark, d))
+
+
+def _eligible(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.linkable(evidence.eligible(b.preferred_years(spark, d), ELIGIBLE_SCORE), b.people(spark, d))
 
 
 _EVENT_SPEC = "identity_id:i best_score:i event_year:i event_date record_birth_year:i candidate_years:i ambiguous"
 for _r in evidence.TIE_RULES:
     _query(f"consensus_{_r}", _EVENT_SPEC, f"WITH {_events(_r)}\nSELECT * FROM events_")(lambda s, d, r=_r: evidence.consensus(_usable(s, d), r))
 _query("best_of_sources", "identity_id:i preferred_year:i best_score:i sources_with_a_year:i sources_backing:i", f"WITH {_RECORDS}\nSELECT * FROM years")(b.preferred_years)
-_query("eligible_identities", "identity_id:i preferred_year:i best_score:i", f"WITH {_RECORDS}\nSELECT * FROM years WHERE preferred_year IS NOT NULL AND best_score > 1")(lambda s, d: evidence.eligible(b.preferred_years(s, d), 1))
+_query("eligible_identities", "identity_id:i preferred_year:i best_score:i", f"WITH {_RECORDS}\nSELECT * FROM eligible")(_eligible)
 _GAPS = """
-gaps AS (SELECT identity_id, min(abs(birth_year - preferred_year)) AS min_gap, count(*) AS records_with_a_year FROM usable JOIN years USING (identity_id) WHERE birth_year IS NOT NULL GROUP BY 1)"""
+gaps AS (SELECT identity_id, min(abs(birth_year - preferred_year)) AS min_gap, count(*) AS records_with_a_year FROM usable JOIN eligible USING (identity_id) WHERE birth_year IS NOT NULL GROUP BY 1)"""
 _STRICT = f"""
 strict AS (
   SELECT identity_id, birth_year AS strict_birth_year, event_year AS strict_event_year, passing_records FROM (
     SELECT *, row_number() OVER (PARTITION BY identity_id ORDER BY score DESC, event_year, birth_year) AS place, count(*) OVER (PARTITION BY identity_id) AS passing_records
-    FROM usable JOIN years USING (identity_id) WHERE abs(birth_year - preferred_year) <= {TOLERANCE}) WHERE place = 1)"""
-_query("rule_b_gap", "identity_id:i min_gap:i records_with_a_year:i", f"WITH {_RECORDS},{_GAPS}\nSELECT * FROM gaps")(lambda s, d: evidence.gaps(_usable(s, d), b.preferred_years(s, d)))
-_query("rule_b_best_record", "identity_id:i strict_birth_year:i strict_event_year:i passing_records:i", f"WITH {_RECORDS},{_STRICT}\nSELECT * FROM strict")(lambda s, d: evidence.within_tolerance(_usable(s, d), b.preferred_years(s, d), TOLERANCE))
+    FROM usable JOIN eligible USING (identity_id) WHERE abs(birth_year - preferred_year) <= {TOLERANCE}) WHERE place = 1)"""
+_query("rule_b_gap", "identity_id:i min_gap:i records_with_a_year:i", f"WITH {_RECORDS},{_GAPS}\nSELECT * FROM gaps")(lambda s, d: evidence.gaps(_usable(s, d), _eligible(s, d)))
+_query("rule_b_best_record", "identity_id:i strict_birth_year:i strict_event_year:i passing_records:i", f"WITH {_RECORDS},{_STRICT}\nSELECT * FROM strict")(lambda s, d: evidence.within_tolerance(_usable(s, d), _eligible(s, d), TOLERANCE))
 _TABLE = f"""{_events('modal_then_earliest')},{_GAPS},{_STRICT},
 year_table AS (
   SELECT y.identity_id, y.preferred_year, y.best_score, e.best_score AS event_score, e.event_year, e.event_year IS NOT NULL AS has_event, coalesce(record_birth_year, preferred_year) AS loose_year,
          CASE WHEN record_birth_year IS NOT NULL THEN 'event_record' ELSE 'sources' END AS loose_source, CASE WHEN e.event_year IS NOT NULL THEN passing_records IS NOT NULL END AS passes, strict_birth_year, min_gap
-  FROM years y LEFT JOIN events_ e USING (identity_id) LEFT JOIN strict USING (identity_id) LEFT JOIN gaps USING (identity_id))"""
+  FROM eligible y LEFT JOIN events_ e USING (identity_id) LEFT JOIN strict USING (identity_id) LEFT JOIN gaps USING (identity_id))"""
 
 
 def _year_table(spark: SparkSession, d: str) -> DataFrame:
-    r, y = _usable(spark, d), b.preferred_years(spark, d)
+    r, y = _usable(spark, d), _eligible(spark, d)
     return evidence.year_table(y, evidence.consensus(r), evidence.within_tolerance(r, y, TOLERANCE), evidence.gaps(r, y))
 
 
 _query("birth_year_table", "identity_id:i preferred_year:i event_score:i event_year:i has_event loose_year:i loose_source passes strict_birth_year:i min_gap:i", f"WITH {_TABLE}\nSELECT * FROM year_table")(_year_table)
 _query("gap_histogram", "value:i n:i", f"WITH {_RECORDS},{_GAPS}\nSELECT least(min_gap, 2) AS value, count(*) AS n FROM gaps GROUP BY 1")(
-    lambda s, d: selection.top_coded(evidence.gaps(_usable(s, d), b.preferred_years(s, d)), "min_gap", 2)
+    lambda s, d: selection.top_coded(evidence.gaps(_usable(s, d), _eligible(s, d)), "min_gap", 2)
 )
-_PERSON = "identity_id % 40"
 
 
 def _collapsed_people(spark: SparkSession, d: str) -> DataFrame:
-    rows = _year_table(spark, d).withColumn("person", F.col("identity_id") % 40)
-    order = [F.col("has_event").desc(), F.col("event_score").desc_nulls_last(), F.col("event_year").asc_nulls_last(), F.col("identity_id").asc()]
-    return evidence.collapse_identities(rows, "person", order, "loose_year")
+    documents = b.identity_documents(spark, d).groupBy("identity_id").agg(F.count_distinct("doc_id").alias("documents"))
+    rows = _year_table(spark, d).join(b.people(spark, d), "identity_id").join(documents, "identity_id")
+    return evidence.collapse_identities(rows, "person", evidence.person_order(), "loose_year")
+
 
+def _event_table(spark: SparkSession, d: str) -> DataFrame:
+    events = evidence.person_events(evidence.consensus(_usable(spark, d)), b.people(spark, d), FIRST_DAY, LAST_DAY)
+    return evidence.event_table(events, _collapsed_people(spark, d), "strict")
 
+
+#: Days of the month stand for years of events; the window leaves out both ends of the month.
+FIRST_DAY, LAST_DAY = 8, 20
 _PEOPLE = f"""{_TABLE},
+counts AS (SELECT o_custkey AS identity_id, count(DISTINCT l_partkey) AS documents FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
 people AS (
   SELECT * FROM (
-    SELECT *, {_PERSON} AS person, row_number() OVER (PARTITION BY {_PERSON} ORDER BY has_event DESC, event_score DESC NULLS LAST, event_year NULLS LAST, identity_id) AS place,
-           count(*) OVER (PARTITION BY {_PERSON}) AS identities, min(loose_year) OVER (PARTITION BY {_PERSON}) IS DISTINCT FROM max(loose_year) OVER (PARTITION BY {_PERSON}) AS conflict FROM year_table) WHERE place = 1)"""
+    SELECT *, row_number() OVER (PARTITION BY person ORDER BY has_event DESC, event_score DESC NULLS LAST, event_year NULLS LAST, documents DESC, identity_id) AS place,
+           count(*) OVER (PARTITION BY person) AS identities, min(loose_year) OVER (PARTITION BY person) IS DISTINCT FROM max(loose_year) OVER (PARTITION BY person) AS conflict
+    FROM year_table JOIN owners USING (identity_id) JOIN counts USING (identity_id)) WHERE place = 1)"""
+_EVENT_TABLE = f"""{_PEOPLE},
+picked AS (
+  SELECT * FROM (
+    SELECT *, count(*) OVER p AS merged, min(event_year) OVER p <> max(event_year) OVER p AS event_year_conflict, row_number() OVER (PARTITION BY person ORDER BY best_score DESC, event_year, identity_id) AS place
+    FROM events_ JOIN owners USING (identity_id) WHERE event_year BETWEEN {FIRST_DAY} AND {LAST_DAY} WINDOW p AS (PARTITION BY person)) WHERE place = 1),
+aged AS (
+  SELECT e.person, e.identity_id, e.merged AS identities, e.event_year, e.best_score, e.ambiguous, e.event_year_conflict, k.loose_year AS loose_year_general, k.strict_birth_year, k.min_gap,
+         CASE WHEN k.person IS NULL THEN NULL ELSE coalesce(e.record_birth_year, k.preferred_year) END AS loose_year,
+         CASE WHEN k.person IS NULL THEN NULL WHEN e.record_birth_year IS NOT NULL THEN 'event_record' ELSE 'sources' END AS loose_source
+  FROM picked e LEFT JOIN people k ON k.person = e.person),
+event_table AS (
+  SELECT *, event_year - loose_year AS age_loose, event_year - strict_birth_year AS age_strict, event_year - strict_birth_year AS age, event_year - strict_birth_year < 0 AS age_impossible,
+         loose_year_general IS NOT DISTINCT FROM loose_year AS general_year_agrees FROM aged)"""
 _query("collapse_identities", "person:i identity_id:i identities:i conflict loose_year:i event_year:i", f"WITH {_PEOPLE}\nSELECT * FROM people")(_collapsed_people)
-_query("event_table", "person:i event_year:i age_loose:i age_strict:i age_impossible", f"WITH {_PEOPLE}\nSELECT *, event_year - loose_year AS age_loose, event_year - strict_birth_year AS age_strict, event_year - loose_year < 0 AS age_impossible FROM people WHERE event_year BETWEEN 3 AND 28")(
-    lambda s, d: evidence.event_ages(_collapsed_people(s, d).where("event_year between 3 and 28"))
+_query(
+    "event_table", "person:i identity_id:i identities:i event_year:i event_year_conflict loose_year:i loose_source loose_year_general:i age_loose:i age_strict:i age:i age_impossible general_year_agrees",
+    f"WITH {_EVENT_TABLE}\nSELECT * FROM event_table",
+)(_event_table)
+_query("event_notes", "events:i with_age:i impossible:i within_tolerance:i ambiguous:i merged:i conflicting:i general_year_differs:i", f"""WITH {_EVENT_TABLE}
+SELECT count(*) AS events, count(age) AS with_age, count(*) FILTER (WHERE age_impossible) AS impossible, count(*) FILTER (WHERE min_gap <= {TOLERANCE}) AS within_tolerance, count(*) FILTER (WHERE ambiguous) AS ambiguous,
+  count(*) FILTER (WHERE identities > 1) AS merged, count(*) FILTER (WHERE event_year_conflict) AS conflicting, count(*) FILTER (WHERE NOT general_year_agrees) AS general_year_differs FROM event_table""")(
+    lambda s, d: evidence.event_notes(_event_table(s, d), TOLERANCE)
 )
 
 # ---------------------------------------------------------------- selection
 
 _query("candidate_pool", "contributor_id:i field_id year:i share:f rank:i field_documents:i clears_floor", f"WITH {_hits()}\nSELECT * FROM pool")(
-    lambda s, d: selection.pool(b.panel_rows(s, d), b.floored(s, d), RULES, b.FIRST_WINDOW, b.LAST_WINDOW)
+    lambda s, d: selection.pool(b.panel_rows(s, d), b.floored(s, d), RULES, b.FIRST_EVENT, b.LAST_EVENT)
 )
 _query("pool_faults", "unmatched:i no_size:i no_flag:i other_window:i", f"""WITH {_hits()}
 SELECT count(*) FILTER (WHERE size_first_year IS NULL) AS unmatched, count(*) FILTER (WHERE field_documents IS NULL) AS no_size, count(*) FILTER (WHERE clears_floor IS NULL) AS no_flag, count(*) FILTER (WHERE window_first_year <> size_first_year) AS other_window FROM pool""")(
-    lambda s, d: selection.pool_faults(selection.pool(b.panel_rows(s, d), b.floored(s, d), RULES, b.FIRST_WINDOW, b.LAST_WINDOW))
+    lambda s, d: selection.pool_faults(selection.pool(b.panel_rows(s, d), b.floored(s, d), RULES, b.FIRST_EVENT, b.LAST_EVENT))
 )
 _query("pool_not_binding", "below:i selectable:i", f"""WITH {_panel()}
-SELECT count(*) AS below, count(*) FILTER (WHERE {' OR '.join('(' + _rule_sql(r) + ')' for r in RULES)}) AS selectable FROM panel WHERE round(share, 12) < {_LOW}""")(
-    lambda s, d: b.panel_rows(s, d).where(~selection.reaches("share", _LOW)).agg(F.count("*").alias("below"), F.count_if(F.array_contains(F.array(*[F.coalesce(r.test(), F.lit(False)) for r in RULES]), True)).alias("selectable"))
+SELECT count(*) AS below, count(*) FILTER (WHERE {' OR '.join('(' + _rule_sql(r) + ')' for r in RULES)}) AS selectable FROM panel WHERE round(share, 12) < {_LOW} AND year BETWEEN {b.FIRST_EVENT} AND {b.LAST_EVENT}""")(
+    lambda s, d: selection.outside_pool(b.panel_rows(s, d), RULES, b.FIRST_EVENT, b.LAST_EVENT)
 )
+_EVER = f"(SELECT field_id, bool_or(clears_floor) AS ever FROM floored WHERE year BETWEEN {b.FIRST_EVENT} AND {b.LAST_EVENT} GROUP BY 1) AS ever_"
+
+
+def _flags(spark: SparkSession, d: str) -> DataFrame:
+    years = b.floored(spark, d)
+    candidates = selection.pool(b.panel_rows(spark, d), years, RULES, b.FIRST_EVENT, b.LAST_EVENT)
+    return selection.flagged(candidates, RULES, selection.field_ever_clears(years, b.FIRST_EVENT, b.LAST_EVENT))
+
+
 _query("rule_flags", "contributor_id:i field_id year:i field_ever_clears " + " ".join(r.name for r in RULES), f"""WITH {_hits()}
-SELECT contributor_id, field_id, year, bool_or(clears_floor) OVER (PARTITION BY field_id) AS field_ever_clears, {', '.join(f'coalesce({_rule_sql(r)}, false) AS {r.name}' for r in RULES)} FROM pool""")(
-    lambda s, d: selection.flagged(selection.pool(b.panel_rows(s, d), b.floored(s, d), RULES, b.FIRST_WINDOW, b.LAST_WINDOW), RULES)
-)
+SELECT contributor_id, field_id, year, ever AS field_ever_clears, {', '.join(f'coalesce({_rule_sql(r)}, false) AS {r.name}' for r in RULES)} FROM pool LEFT JOIN {_EVER} USING (field_id)""")(_flags)
 _query("qualifying_years", "rule contributor_id:i field_id year:i clears_floor", f"WITH {_hits()}\nSELECT * FROM hits")(lambda s, d: _hit_rows(s, d)[0])
 
 
@@ -574,9 +621,9 @@ def _career(spark, d):
 _CELL = """count(*) AS pairs, count(DISTINCT contributor_id) AS contributors, coalesce(sum(years), 0) AS exposure, median(years) AS median_years, min(years) AS min_years, max(years) AS max_years,
   count(*) FILTER (WHERE last_year - first_year + 1 = years) AS contiguous, count(*) FILTER (WHERE first_year = {a} OR last_year = {z}) AS edge_touching,
   median(years) FILTER (WHERE first_year > {a} AND last_year < {z}) AS median_years_interior, median(documents) AS median_documents, median(field_documents) AS median_field_documents,
-  median(career_median_share) AS median_career_share, count(*) FILTER (WHERE round(career_median_share, 12) >= {cut}) AS career_above_cutoff, coalesce(string_agg(CAST(years AS varchar), ',' ORDER BY years), '') AS year_counts"""
+  median(career_median_share) AS median_career_share, count(*) FILTER (WHERE round(career_median_share, 12) >= {cut}) AS career_above_cutoff, coalesce((SELECT string_agg(y || ':' || n, ',' ORDER BY y) FROM (SELECT years AS y, count(*) AS n FROM spells WHERE rule = '{rule}' AND with_floor = {w} GROUP BY 1)), '') AS year_counts"""
 _CELL_SQL = "\nUNION ALL ".join(
-    f"SELECT '{r.name}' AS rule, {w} AS with_floor, {_CELL.format(a=b.FIRST_WINDOW, z=b.LAST_WINDOW, cut=r.min_share)} FROM spells LEFT JOIN career USING (contributor_id, field_id) WHERE rule = '{r.name}' AND with_floor = {w}"
+    f"SELECT '{r.name}' AS rule, {w} AS with_floor, {_CELL.format(a=b.FIRST_EVENT, z=b.LAST_EVENT, cut=r.min_share, rule=r.name, w=w)} FROM spells LEFT JOIN career USING (contributor_id, field_id) WHERE rule = '{r.name}' AND with_floor = {w}"
     for r in RULES
     for w in ("false", "true")
 )
@@ -588,23 +635,23 @@ _CELL_SQL = "\nUNION ALL ".join(
 )
 def _cells(spark, d):
     hits, rows, _ = _hit_rows(spark, d)
-    return selection.cells(hits, selection.careers(rows, hits), RULES, b.FIRST_WINDOW, b.LAST_WINDOW)
+    return selection.cells(hits, selection.careers(rows, hits), RULES, b.FIRST_EVENT, b.LAST_EVENT)
 
 
 @_query("loose_exposure", "rule with_floor loose_exposure:i", f"""WITH {_hits()},
 reached AS (SELECT DISTINCT rule, with_floor, contributor_id, field_id, year + unnest(range(0, {b.SPAN})) AS y FROM both_)
-SELECT rule, with_floor, count(*) AS loose_exposure FROM reached WHERE y BETWEEN {b.FIRST_WINDOW} AND {b.LAST_WINDOW} GROUP BY 1, 2""")
+SELECT rule, with_floor, count(*) AS loose_exposure FROM reached WHERE y BETWEEN {b.FIRST_EVENT} AND {b.LAST_EVENT} GROUP BY 1, 2""")
 def _loose(spark, d):
-    return selection.loose_exposure(_hit_rows(spark, d)[0], b.SPAN, b.FIRST_WINDOW, b.LAST_WINDOW)
+    return selection.loose_exposure(_hit_rows(spark, d)[0], b.SPAN, b.FIRST_EVENT, b.LAST_EVENT)
 
 
 @_query("floor_decomposition", "rule pairs:i field_ever_clears:i clears_same_year:i lost_field_never:i lost_other_year:i", f"""WITH {_hits()},
-ever AS (SELECT field_id, bool_or(clears_floor) AS ever FROM floored GROUP BY 1),
+ever AS (SELECT * FROM {_EVER}),
 per AS (SELECT rule, contributor_id, field_id, bool_or(coalesce(ever, false)) AS c, bool_or(coalesce(clears_floor, false)) AS s FROM hits LEFT JOIN ever USING (field_id) GROUP BY 1, 2, 3)
 SELECT rule, count(*) AS pairs, count(*) FILTER (WHERE c) AS field_ever_clears, count(*) FILTER (WHERE s) AS clears_same_year, count(*) FILTER (WHERE NOT c) AS lost_field_never, count(*) FILTER (WHERE c) - count(*) FILTER (WHERE s) AS lost_other_year FROM per GROUP BY 1""")
 def _decomposition(spark, d):
     hits, _, years = _hit_rows(spark, d)
-    return selection.floor_decomposition(hits, selection.field_ever_clears(years))
+    return selection.floor_decomposition(hits, selection.field_ever_clears(years, b.FIRST_EVENT, b.LAST_EVENT))
 
 
 _ALT = RULES[-2]
@@ -613,16 +660,18 @@ _query(
     "alternative_exclusions", "rows:i no_margin:i tied:i small_margin:i rescued:i rows_above_floor:i no_margin_above_floor:i tied_above_floor:i rescued_above_floor:i",
     f"WITH {_hits()}\nSELECT " + ", ".join(f"count(*) FILTER (WHERE {t}) AS {n}, count(*) FILTER (WHERE ({t}) AND clears_floor) AS {n}_above_floor" for n, t in _TESTS.items())
     + f", count(*) FILTER (WHERE round(share, 12) >= {_ALT.min_share} AND margin < {_ALT.min_margin}) AS small_margin FROM pool WHERE rank <= {_ALT.max_rank}",
-)(lambda s, d: selection.exclusions(selection.pool(b.panel_rows(s, d), b.floored(s, d), RULES, b.FIRST_WINDOW, b.LAST_WINDOW), _ALT))
-_query("field_size_summary", "field_years:i above_floor:i median_documents:f median_above_floor:f document_share_above_floor:f", f"""WITH {_floor(_PER_YEAR)}
+)(lambda s, d: selection.exclusions(selection.pool(b.panel_rows(s, d), b.floored(s, d), RULES, b.FIRST_EVENT, b.LAST_EVENT), _ALT))
+_query("field_size_summary", "field_years:i above_floor:i median_documents:f median_above_floor:f document_share_above_floor:f lowest_floor:f highest_floor:f median_documents_per_year:f cutoff_in_documents:f", f"""WITH {_floor(_PER_YEAR)}
 SELECT count(*) AS field_years, count(*) FILTER (WHERE clears_floor) AS above_floor, median(field_documents) AS median_documents, median(field_documents) FILTER (WHERE clears_floor) AS median_above_floor,
-  coalesce(sum(field_documents) FILTER (WHERE clears_floor) / sum(field_documents)::double, 0) AS document_share_above_floor FROM floored""")(lambda s, d: selection.size_summary(b.floored(s, d), b.FIRST_WINDOW, b.LAST_WINDOW))
+  coalesce(sum(field_documents) FILTER (WHERE clears_floor) / sum(field_documents)::double, 0) AS document_share_above_floor,
+  min(floor) AS lowest_floor, max(floor) AS highest_floor, median(field_documents) / {b.SPAN} AS median_documents_per_year, median(field_documents) * {CUTOFFS[0]} AS cutoff_in_documents
+FROM floored WHERE year BETWEEN {b.FIRST_EVENT} AND {b.LAST_EVENT}""")(lambda s, d: selection.size_summary(b.floored(s, d), b.FIRST_EVENT, b.LAST_EVENT, b.SPAN, CUTOFFS[0]))
 _FIRST_RULE = RULES[0].name
 
 
 def _satisfying(spark: SparkSession, d: str, rule: selection.Rule, width: str = b.MIDDLE) -> DataFrame:
     """Panel rows that satisfy one rule; field sizes and floors are not needed for that."""
-    return b.panel_rows(spark, d, width).where(F.col("year").between(b.FIRST_WINDOW, b.LAST_WINDOW) & rule.test())
+    return b.panel_rows(spark, d, width).where(F.col("year").between(b.FIRST_EVENT, b.LAST_EVENT) & rule.test())
 
 
 def _working(spark: SparkSession, d: str) -> DataFrame:
@@ -655,6 +704,14 @@ def _behind(spark, d):
     return selection.filing_years_behind(_working(spark, d), panel.activity(b.credited(spark, d)), b.SPAN)
 
 
+_query("filing_years_summary", "pairs:i median_filing_years:f one_filing_year:i span_or_more:i", f"""WITH {_hits()},
+behind AS (SELECT DISTINCT contributor_id, field_id, year - unnest(range(0, {b.SPAN})) AS filed FROM hits WHERE rule = '{_FIRST_RULE}'),
+per AS (SELECT contributor_id, field_id, count(*) AS n FROM behind WHERE (contributor_id, field_id, filed) IN (SELECT (contributor_id, field_id, year) FROM activity_) GROUP BY 1, 2)
+SELECT count(*) AS pairs, median(n) AS median_filing_years, count(*) FILTER (WHERE n = 1) AS one_filing_year, count(*) FILTER (WHERE n >= {b.SPAN}) AS span_or_more FROM per""")(
+    lambda s, d: selection.filing_year_summary(_behind(s, d), b.SPAN)
+)
+
+
 @_query("pair_list", "contributor_id:i field_id years:i first_year:i last_year:i documents:f field_documents:f career_median_share:f", f"WITH {_hits()}\nSELECT * FROM spells LEFT JOIN career USING (contributor_id, field_id) WHERE rule = '{_FIRST_RULE}' AND with_floor")
 def _pairs(spark, d):
     hits, rows, _ = _hit_rows(spark, d)
@@ -663,10 +720,10 @@ def _pairs(spark, d):
 
 
 @_query("at_least_k_curve", "rule with_floor k:i share:f", f"""WITH {_hits()},
-steps AS (SELECT *, unnest(range(1, {b.LAST_WINDOW - b.FIRST_WINDOW + 2})) AS k FROM spells)
+steps AS (SELECT *, unnest(range(1, {b.LAST_EVENT - b.FIRST_EVENT + 2})) AS k FROM spells)
 SELECT rule, with_floor, k, avg((years >= k)::int) AS share FROM steps GROUP BY 1, 2, 3""")
 def _curve(spark, d):
-    return selection.at_least_curve(selection.pair_spells(_hit_rows(spark, d)[0]), b.LAST_WINDOW - b.FIRST_WINDOW + 1)
+    return selection.at_least_curve(selection.pair_spells(_hit_rows(spark, d)[0]), b.LAST_EVENT - b.FIRST_EVENT + 1)
 
 
 @_query("year_runs", "rule contributor_id:i field_id years", f"""WITH {_hits()},
@@ -675,3 +732,41 @@ runs AS (SELECT rule, contributor_id, field_id, min(year) AS a, max(year) AS z F
 SELECT rule, contributor_id, field_id, string_agg(CASE WHEN a = z THEN CAST(a AS varchar) ELSE a || '-' || z END, ', ' ORDER BY a) AS years FROM runs GROUP BY 1, 2, 3""")
 def _runs(spark, d):
     return selection.year_runs(_hit_rows(spark, d)[0])
+
+# ---------------------------------------------------------------- ledger, guards, reports
+
+_STEPS = (("type", "doc_type in ('F', 'O')", "Documents in a state of their own are left out"), ("years", f"year(filing_date) between {b.FIRST_YEAR} and {b.LAST_YEAR}", "Years that are not complete in the source are left out"))
+_STEP_SQL = " UNION ALL ".join(
+    f"SELECT {i + 1} AS \"order\", 'filter' AS kind, '{name}' AS name, (SELECT count(*) FROM listed WHERE {before}) AS rows_before, (SELECT count(*) FROM listed WHERE {after}) AS rows_after, "
+    f"(SELECT count(DISTINCT doc_id) FROM listed WHERE {before}) AS documents_before, (SELECT count(DISTINCT doc_id) FROM listed WHERE {after}) AS documents_after, "
+    f"(SELECT count(DISTINCT contributor_id) FROM listed WHERE {before}) AS contributors_before, (SELECT count(DISTINCT contributor_id) FROM listed WHERE {after}) AS contributors_after"
+    for i, (name, before, after) in enumerate(((_STEPS[0][0], "true", _STEPS[0][1]), (_STEPS[1][0], _STEPS[0][1], f"{_STEPS[0][1]} AND {_STEPS[1][1]}")))
+)
+
+
+@_query(
+    "funnel_counts", "order:i kind name rows_before:i rows_after:i documents_before:i documents_after:i contributors_before:i contributors_after:i",
+    f"""WITH listed AS (SELECT o_orderkey AS doc_id, o_orderstatus AS doc_type, CAST(o_orderdate AS date) AS filing_date, l_suppkey AS contributor_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT * FROM ({_STEP_SQL})""",
+)
+def _funnel(spark, d):
+    lines = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_suppkey").alias("contributor_id"))
+    rows, ledger = b.filed(spark, d).select("doc_id", "doc_type", "filing_date").join(lines, "doc_id"), Ledger()
+    for name, condition, why in _STEPS:
+        rows = ledger.filter(rows, name, condition, why)
+    return ledger.frame(spark)
+
+
+@_query("lookahead_summary", "column rows:i nulls:i late:i", f"""WITH {_UNIVERSE}
+SELECT 'filing_date' AS "column", count(*) AS rows, count(*) FILTER (WHERE filing_date IS NULL) AS nulls, count(*) FILTER (WHERE filing_date > DATE '1998-06-30') AS late FROM documents_
+UNION ALL SELECT 'grant_date', count(*), count(*) FILTER (WHERE grant_date IS NULL), count(*) FILTER (WHERE grant_date > DATE '1998-06-30') FROM documents_""")
+def _lookahead(spark, d):
+    return guard.summary(b.documents(spark, d), date(1998, 6, 30), ["filing_date", "grant_date"])
+
+
+@_query("report_sections", "section lines:i", f"""WITH {_UNIVERSE}
+SELECT 'Types' AS section, count(*) + 2 AS lines FROM (SELECT DISTINCT doc_type FROM universe WHERE doc_type IN ('F', 'O'))
+UNION ALL SELECT 'Grants', count(*) + 2 FROM (SELECT DISTINCT year(grant_date) FROM documents_ WHERE year(grant_date) BETWEEN {b.FIRST_YEAR} AND {b.LAST_YEAR})""")
+def _sections(spark, d):
+    tables = {"Types": _universe_by_type(spark, d), "Grants": _universe_by_grant(spark, d)}
+    return report.sections_frame(spark, report.document("Universe", {name: report.table(f.toPandas()) for name, f in tables.items()}))

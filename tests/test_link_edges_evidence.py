@@ -58,8 +58,8 @@ def test_agreement_of_sets(spark):
 
 
 def test_names_without_case_and_accents(spark):
-    left = spark.createDataFrame([("1", "Müller"), ("2", "O'Neil "), ("3", "Smith")], "identity_id string, name string")
-    right = spark.createDataFrame([("a", "MULLER"), ("b", "oneil"), ("c", "Jones"), ("c", None)], "contributor_id string, name string")
+    left = spark.createDataFrame([("1", "Müller"), ("2", "Mallon, Jr."), ("3", "Smith")], "identity_id string, name string")
+    right = spark.createDataFrame([("a", "MULLER"), ("b", "mallon"), ("c", "Jones"), ("c", None)], "contributor_id string, name string")
     row = link.name_agreement(pairs(spark, [("1", "a"), ("2", "b"), ("3", "c")]), left, right).first()
     assert (row["compared"], row["agreeing"]) == (3, 2)
     linked = pairs(spark, [("1", "a"), ("2", "b"), ("3", "c")])
@@ -78,7 +78,7 @@ TRUTH = [
 
 @pytest.mark.parametrize("rule", edges.RULES)
 def test_edge_rules(spark, rule):
-    df = spark.createDataFrame([(i, 0, c) for i, case in enumerate(TRUTH) for c in case[0]], "citing_id int, cited_id int, category string")
+    df = spark.createDataFrame([(i, 0, c) for i, case in enumerate(TRUTH) for c in case[0]], "citing_id int, cited_id int, category string").withColumns({c: F.lit(1990) for c in edges.CITING})
     out = {r["citing_id"]: r for r in edges.collapse_edges(df, rule, "R").collect()}
     for i, case in enumerate(TRUTH):
         assert (out[i]["category"], out[i]["conflicted"], out[i]["by_examiner"]) == (case[1], case[2], case[3 + edges.RULES.index(rule)])
@@ -86,10 +86,14 @@ def test_edge_rules(spark, rule):
 
 
 def test_edge_dates_and_blanks(spark):
-    docs = spark.createDataFrame([(1, "2000-01-01")], "doc_id int, filing_date string")
-    df = spark.createDataFrame([(1, 7, " "), (2, 7, "R"), (1, 8, "R")], "citing_id int, cited_id int, category string")
-    out = {(r["citing_id"], r["cited_id"]): (r["category"], r["citing_date"]) for r in edges.edges_received(df, docs, spark.createDataFrame([(7,)], "doc_id int")).collect()}
-    assert out == {(1, 7): (None, "2000-01-01"), (2, 7): ("R", None)}
+    grants = spark.createDataFrame([(1, "2000-01-01")], "doc_id int, g string").select("doc_id", F.to_date("g").alias("grant_date"))
+    known = spark.createDataFrame([(2, 1999)], "doc_id int, year int")
+    df = spark.createDataFrame([(1, 7, " "), (2, 7, "R"), (1, 8, "R"), (3, 7, None)], "citing_id int, cited_id int, category string")
+    received = edges.edges_received(df, grants, known, spark.createDataFrame([(7,)], "doc_id int"))
+    out = {(r["citing_id"], r["cited_id"]): (r["category"], str(r["citing_grant_date"]), r["citing_grant_year"], r["citing_application_year"]) for r in received.collect()}
+    assert out == {(1, 7): (None, "2000-01-01", 2000, None), (2, 7): ("R", "None", None, 1999), (3, 7): (None, "None", None, None)}
+    kept = edges.collapse_edges(received.unionByName(received), "any_examiner", "R").where("citing_id = 1").first()
+    assert (kept["records"], kept["citing_grant_year"], kept["citing_application_year"]) == (2, 2000, None)
     with pytest.raises(ValueError, match="unknown rule"):
         edges.examiner_flag("other", "R")
 
@@ -127,8 +131,6 @@ def test_strict_and_loose_years(spark):
     assert (out["a"]["strict_birth_year"], out["a"]["passes"], out["a"]["min_gap"], out["a"]["loose_year"]) == (1949, True, 1, 1980)
     assert (out["b"]["passes"], out["b"]["strict_birth_year"]) == (False, None)
     assert (out["c"]["passes"], out["c"]["loose_year"], out["c"]["loose_source"]) == (None, 1970, "sources")
-    ages = {r["identity_id"]: r for r in evidence.event_ages(table).collect()}
-    assert ages["a"]["age_loose"] == 21 and ages["a"]["age_strict"] == 52 and not ages["a"]["age_impossible"]
 
 
 def test_whole_rows_collapse(spark):
@@ -136,3 +138,56 @@ def test_whole_rows_collapse(spark):
     order = [F.col("has_event").desc(), F.col("score").desc_nulls_last(), F.col("identity_id").asc()]
     out = {r["person"]: r for r in evidence.collapse_identities(df, "person", order, "y").collect()}
     assert (out["p"]["identity_id"], out["p"]["identities"], out["p"]["conflict"]) == ("3", 3, True) and (out["q"]["identities"], out["q"]["conflict"]) == (1, False)
+
+
+def test_the_window_comes_before_the_pick(spark, rows):
+    """p's best event lies outside the window and must not hide the lesser one inside; q has two equal ones inside; r has none."""
+    cols = "identity_id string, best_score int, event_year int, event_date string, record_birth_year int, candidate_years bigint, ambiguous boolean"
+    events = spark.createDataFrame([("1", 9, 2020, "x", 1950, 1, False), ("2", 5, 2001, "x", None, 1, False), ("3", 7, 2003, "x", 1940, 2, True), ("4", 7, 2002, "x", 1930, 1, False), ("5", 9, 1970, "x", 1900, 1, False), ("6", 8, 2004, "x", None, 1, False)], cols)
+    links = spark.createDataFrame([("1", "p"), ("2", "p"), ("3", "q"), ("4", "q"), ("5", "r"), ("6", "s")], "identity_id string, person string")
+    picked = evidence.person_events(events, links, 1986, 2016)
+    assert rows(picked.select("person", "identity_id", "event_year", "identities", "event_year_conflict")) == [("p", "2", 2001, 1, False), ("q", "4", 2002, 2, True), ("s", "6", 2004, 1, False)]
+    people = spark.createDataFrame([("p", 1960, 1950, 1961, True, 1), ("q", 1931, 1940, 1990, False, 9), ("x", 1, 1, 1, True, 0)], "person string, preferred_year int, loose_year int, strict_birth_year int, passes boolean, min_gap int")
+    loose = {r["person"]: r for r in evidence.event_table(picked, people).collect()}
+    assert (loose["p"]["loose_year"], loose["p"]["loose_source"], loose["p"]["age"], loose["p"]["general_year_agrees"]) == (1960, "sources", 41, False)
+    assert (loose["q"]["loose_year"], loose["q"]["loose_source"], loose["q"]["age_loose"], loose["q"]["age_strict"]) == (1930, "event_record", 72, 12)
+    assert (loose["s"]["loose_year"], loose["s"]["loose_source"], loose["s"]["age"], loose["s"]["general_year_agrees"]) == (None, None, None, True)
+    strict = evidence.event_table(picked, people.withColumn("strict_birth_year", F.lit(2010)), "strict")
+    assert strict.where("age_impossible").count() == 2
+    notes = evidence.event_notes(strict, 2).first()
+    assert (notes["events"], notes["with_age"], notes["impossible"], notes["within_tolerance"], notes["merged"], notes["conflicting"], notes["general_year_differs"]) == (3, 2, 2, 1, 1, 1, 2)
+    with pytest.raises(ValueError, match="unknown rule"):
+        evidence.event_table(picked, people, "other")
+
+
+def test_person_order_uses_documents(spark):
+    df = spark.createDataFrame([("p", "2", False, None, None, 7, 1), ("p", "1", False, None, None, 3, 1), ("q", "3", True, 2, 1999, 1, 1), ("q", "4", False, None, None, 99, 1)], "person string, identity_id string, has_event boolean, event_score int, event_year int, documents bigint, y int")
+    out = {r["person"]: r["identity_id"] for r in evidence.collapse_identities(df, "person", evidence.person_order(), "y").collect()}
+    assert out == {"p": "2", "q": "3"}
+
+
+def test_anchor_of_the_current_release(spark):
+    release = spark.createDataFrame([("d1", 0, "o1", "a"), ("d1", 1, "o2", "b"), ("d2", 0, "o3", ""), ("d3", 0, "o4", "c"), ("d9", 0, "o5", "x")], "doc_id string, sequence int, release_1 string, release_2 string")
+    listed = spark.createDataFrame([("d1", 0, "a"), ("d1", 1, "b"), ("d2", 0, "z"), ("d3", 0, "c")], "doc_id string, sequence int, contributor_id string")
+    assert link.require_anchor(release, listed, "release_2", "release_") == 1.0
+    with pytest.raises(ValueError, match="another release; releases here: .'release_1', 'release_2'"):
+        link.require_anchor(release, listed, "release_1", "release_")
+    with pytest.raises(KeyError, match="release_2"):
+        link.require_anchor(release, listed, "release_3", "release_")
+    with pytest.raises(ValueError, match="shares no slot"):
+        link.require_anchor(release, listed.where("false"), "release_2", "release_")
+
+
+def test_both_routes_are_tested_by_names(spark):
+    owners = spark.createDataFrame([("1", "a", "b"), ("2", "c", None), ("3", None, "d")], "identity_id string, release_contributor string, coordinate_contributor string")
+    left = spark.createDataFrame([("1", "Ash"), ("2", "Birch"), ("3", "Cedar")], "identity_id string, name string")
+    right = spark.createDataFrame([("a", "ash"), ("b", "Oak"), ("c", "Birch"), ("d", "Cedar")], "contributor_id string, name string")
+    assert link.both_name_agreements(owners, left, right, "release", 0.9, "n") == {"release": 1.0, "coordinate": 0.5, "owner": 1.0}
+    with pytest.raises(ValueError, match="below the floor"):
+        link.both_name_agreements(owners, left, right, "coordinate", 0.9, "n")
+
+
+def test_vintages(spark, rows):
+    links = spark.createDataFrame([("1", "a"), ("2", "b")], "identity_id string, contributor_id string")
+    verdicts = spark.createDataFrame([("1", "a", "identical"), ("2", "b", "no_overlap")], "identity_id string, contributor_id string, agreement string")
+    assert rows(link.same_vintage(links, verdicts, True)) == [("1", "a", "identical")] and link.same_vintage(links, verdicts, False).count() == 2

@@ -128,7 +128,7 @@ def test_selection_by_hand(spark, rows):
     assert rows(hits.groupBy("rule").count()) == [("alternative", 1), ("alternative_dense", 1), ("cutoff_2500", 4), ("cutoff_5000", 2)]
     cells = {(r["rule"], r["with_floor"]): r for r in selection.cells(hits, selection.careers(pool, hits), rules, 1, 4).collect()}
     low = cells["cutoff_2500", False]
-    assert (low["pairs"], low["exposure"], low["contiguous"], low["edge_touching"], low["year_counts"]) == (2, 4, 1, 1, "1,3")
+    assert (low["pairs"], low["exposure"], low["contiguous"], low["edge_touching"], low["year_counts"]) == (2, 4, 1, 1, "1:1,3:1")
     assert (cells["cutoff_5000", True]["pairs"], cells["alternative", True]["exposure"]) == (1, 1)
     assert rows(selection.year_runs(hits.where("rule = 'cutoff_2500'"))) == [("cutoff_2500", "a", "F", "1-2, 4"), ("cutoff_2500", "b", "G", "2")]
     loose = {(r["rule"], r["with_floor"]): r["loose_exposure"] for r in selection.loose_exposure(hits, 2, 1, 4).collect()}
@@ -140,3 +140,42 @@ def test_selection_by_hand(spark, rows):
 def test_overlap_of_widths(spark, rows):
     df = spark.createDataFrame([("w1", 1), ("w1", 2), ("w2", 2), ("w2", 3), ("w3", 2), ("w3", 2)], "width string, contributor_id int")
     assert rows(selection.overlap(df)) == [("w1", "w2", 1), ("w1", "w3", 1), ("w2", "w3", 1)]
+
+
+def test_medians_from_counts(spark, rows):
+    """Cells of even and odd size, with repeated values, against exact medians."""
+    import random
+
+    random.seed(4)
+    data = [("a", "m", random.choice([1.0, 2.0, 2.5, 7.0])) for _ in range(101)] + [("a", "n", random.random()) for _ in range(40)] + [("b", "m", 3.0), ("b", "n", None)]
+    df = spark.createDataFrame(data, "k string, measure string, value double")
+    want = df.groupBy("k", "measure").agg(F.median("value").alias("median")).where("median is not null")
+    assert rows(selection._middle(df, ["k"]).select("k", "measure", "median")) == rows(want)
+
+
+def test_field_ever_clears_over_all_field_years_of_the_window(spark, rows):
+    """F clears its floor in a year in which it has no candidate, G only outside the window."""
+    years = spark.createDataFrame([("F", 1, False), ("F", 2, True), ("G", 1, False), ("G", 9, True)], "field_id string, year int, clears_floor boolean")
+    ever = selection.field_ever_clears(years, 1, 3)
+    assert rows(ever) == [("F", True), ("G", False)]
+    pool = spark.createDataFrame([("a", "F", 1, 0.6, 1, 3.0), ("b", "G", 1, 0.6, 1, 3.0)], "contributor_id string, field_id string, year int, share double, rank bigint, margin double").withColumn("margin_dense", F.col("margin"))
+    flags = selection.flagged(pool, selection.rule_list([0.5], 1, 2.0, 0.2), ever)
+    assert rows(flags.select("contributor_id", "field_ever_clears")) == [("a", True), ("b", False)]
+    hits = selection.qualifying(pool.withColumn("clears_floor", F.lit(False)), selection.rule_list([0.5], 1, 2.0, 0.2))
+    out = selection.floor_decomposition(hits.where("rule = 'cutoff_5000'"), ever).first()
+    assert (out["pairs"], out["field_ever_clears"], out["clears_same_year"], out["lost_field_never"], out["lost_other_year"]) == (2, 1, 0, 1, 1)
+
+
+def test_field_years_from_levels(spark, rows):
+    df = spark.createDataFrame([("a", "F", 1, 2.0, 3), ("b", "F", 1, 2.0, 1), ("c", "F", 1, 0.5, 1), ("d", "G", 1, 1.0, 2), ("e", "G", 2, 4.0, 2), ("f", "G", 2, 1.0, 2)], "contributor_id string, field_id string, year int, weight double, documents bigint").withColumn("window_first_year", F.col("year") - 2)
+    heads = spark.createDataFrame([("F", 1, 5), ("G", 2, 4)], "field_id string, year int, field_documents bigint")
+    for cap in (None, 10.0):
+        want = panel.field_years(panel.panel(df, margin_cap=cap), heads)
+        got = panel.field_years_from_levels(panel.levels(df), heads, 3, cap)
+        assert rows(got.select(*sorted(got.columns))) == rows(want.select(*sorted(got.columns)))
+
+
+def test_floor_checks_follow_the_rule(spark):
+    fields = spark.createDataFrame([("F", 1, 10, 10.0, False), ("G", 1, 20, 10.0, True)], "field_id string, year int, field_documents bigint, floor double, clears_floor boolean")
+    assert checks.check_floor(fields, panel.floors(fields, "absolute", 10)).passed
+    assert not checks.check_floor(fields, panel.floors(fields, "absolute", 11)).passed
