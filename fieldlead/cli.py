@@ -17,9 +17,9 @@ def main(argv: list[str] | None = None) -> int:
     convert = commands.add_parser("convert", help="zipped delimited text to Parquet")
     convert.add_argument("archives", nargs="+")
     convert.add_argument("--out", required=True)
-    run = commands.add_parser("run", help="spine, panel and selection from Parquet tables")
+    run = commands.add_parser("run", help="all stages from Parquet tables")
     run.add_argument("--config")
-    run.add_argument("--data", help="folder with documents, listings and codes as Parquet; defaults to the configuration's")
+    run.add_argument("--data", help="folder with documents, listings, codes and, if there, edges, identity_documents, release, records, years, names and contributor_names as Parquet; defaults to the configuration's")
     run.add_argument("--out")
     for p in (convert, run):
         p.add_argument("--force", action="store_true", help="build again what exists")
@@ -34,7 +34,8 @@ def main(argv: list[str] | None = None) -> int:
     cfg = config.load(args.config) if args.config else config.build(known_widths=lambda: set(WIDTHS))
     spark.conf.set("spark.sql.shuffle.partitions", str(cfg["runtime.shuffle_partitions"]))
     data = args.data or delimited.data_root(cfg["paths.data"])
-    tables = {n: spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "listings", "codes")}
+    optional = ("edges", "identity_documents", "release", "records", "years", "names", "contributor_names")
+    tables = {n: spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "listings", "codes", *[n for n in optional if Path(f"{data}/{n}.parquet").exists()])}
     print(pipeline.run(spark, cfg, tables, args.out or cfg["paths.output"], args.force))
     return 0
 

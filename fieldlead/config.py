@@ -51,7 +51,9 @@ SCHEMA: dict[str, Key] = {
     "universe.drop_withdrawn": Key(bool, True),
     "edges.deduplicate": Key(bool, True),
     "edges.conflict_rule": Key(str, "drop_conflicts", ("any_examiner", "all_examiner", "drop_conflicts")),
+    "edges.examiner": Key(str, "cited by examiner"),
     "counting.method": Key(str, "fractional", ("fractional", "full")),
+    "counting.field_size": Key(str, "full", ("fractional", "full")),
     "codes.assignment": Key(str, "primary", ("primary", "all")),
     "codes.primary_sequence": Key(int, 0, low=0),
     "codes.multi_code_weighting": Key(str, "duplicate", ("duplicate", "fractional")),
@@ -66,17 +68,32 @@ SCHEMA: dict[str, Key] = {
     "floor.documents": Key(_NUMBER, 100, low=0),
     "floor.percentile": Key((*_NUMBER, _NONE), None),
     "floor.inclusive": Key(bool, True),
+    "link.preferred_route": Key(str, "release", ("release", "coordinate")),
+    "link.old_release": Key(str, "release_old"),
+    "link.current_release": Key(str, "release_current"),
+    "link.prefix": Key(str, "release_"),
+    "link.anchor_floor": Key(_NUMBER, 0.99, low=0, high=1),
+    "link.coverage_floor": Key(_NUMBER, 0.99, low=0, high=1),
+    "link.name_floor": Key(_NUMBER, 0.99, low=0, high=1),
+    "link.require_identical": Key(bool, False),
     "events.first_year": Key(int, 1986, low=1900, high=2100),
     "events.last_year": Key(int, 2016, low=1900, high=2100),
     "events.min_score": Key(_NUMBER, 0),
     "events.tie_rule": Key(str, "modal_then_earliest", ("modal_then_earliest", "earliest", "latest", "drop")),
     "birth.tolerance": Key(int, 2, low=0),
     "birth.top_code": Key(int, 6, low=1),
+    "birth.min_score": Key(_NUMBER, 0),
+    "birth.score_inclusive": Key(bool, False),
+    "birth.treated_rule": Key(str, "loose", ("loose", "strict")),
+    "select.metric": Key(str, "document_share", ("document_share", "citation_share")),
+    "select.max_rank": Key(int, 1, low=1),
     "select.cutoffs": Key(list, [0.01, 0.025, 0.05, 0.1]),
     "select.working_cutoff": Key(_NUMBER, 0.05, low=0, high=1),
     "select.min_margin": Key(_NUMBER, 2.0, low=1),
     "select.min_share": Key(_NUMBER, 0.02, low=0, high=1),
     "report.share_decimals": Key(int, 6, low=0, high=12),
+    "report.both_floors": Key(bool, True),
+    "report.with_floor": Key(bool, True),
 }
 
 
@@ -100,6 +117,17 @@ def _cross_rules(v: Mapping[str, Any]) -> list[str]:
         (v["birth.top_code"] > v["birth.tolerance"], "birth.top_code must be above birth.tolerance"),
         (v["select.working_cutoff"] in v["select.cutoffs"], "select.working_cutoff must be one of select.cutoffs"),
         (bool(v["fields.widths"]), "fields.widths must name a width"),
+        (len(set(v["fields.widths"])) == len(v["fields.widths"]), "fields.widths names a width twice"),
+        (bool(v["universe.types"]) and all(isinstance(x, str) for x in v["universe.types"]), "universe.types must name document types"),
+        (v["measure.last_year"] - v["measure.first_year"] >= 0 and v["events.first_year"] >= v["measure.first_year"], "events.first_year comes before the measured years"),
+        (v["events.last_year"] <= v["measure.last_year"], "events.last_year is after the measured years"),
+        (bool(v["select.cutoffs"]) and all(isinstance(c, _NUMBER) and not isinstance(c, bool) and 0 < c <= 1 for c in v["select.cutoffs"]), "select.cutoffs must be shares above 0 and at most 1"),
+        (len(set(v["select.cutoffs"])) == len(v["select.cutoffs"]), "select.cutoffs names a cutoff twice"),
+        (v["link.old_release"] != v["link.current_release"], "link.old_release and link.current_release must differ"),
+        (v["link.old_release"].startswith(v["link.prefix"]) and v["link.current_release"].startswith(v["link.prefix"]), "link.prefix must start the names of both releases"),
+        (v["measure.no_runner_up"] != "cap" or v["measure.margin_cap"] > v["select.min_margin"], "measure.margin_cap must be above select.min_margin, else no lone leader can pass"),
+        (not v["sample.enabled"] or bool(v["sample.section"]), "sample.section must name a section while sampling"),
+        (v["report.both_floors"] or v["floor.mode"] != "absolute" or v["floor.documents"] > 0 or not v["report.with_floor"], "report.with_floor asks for a floor, and floor.documents is 0"),
     ]
     percentile = v["floor.percentile"]
     if v["floor.mode"] == "absolute":

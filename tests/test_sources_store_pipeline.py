@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlead import cli, config, pipeline, report, store
+from fieldlead import cli, config, pipeline, refusals, report, store
 from fieldlead.sources import delimited
 from fieldlead.streaming.hopping import hopping_totals
 
@@ -100,10 +100,61 @@ def test_the_whole_run(spark, tmp_path):
     cfg = config.build({"floor": {"mode": "per_year", "percentile": 50}, "fields": {"widths": ["class"]}})
     index = pipeline.run(spark, cfg, tables, tmp_path)
     text = (tmp_path / "report_class.md").read_text()
-    assert "FAILED" not in text and text.count("passed") == 20 and "STALE" not in index.read_text()
+    assert "FAILED" not in text and text.count("passed") == 21 and "STALE" not in index.read_text()
     assert "orphan documents" in (tmp_path / "diary.md").read_text()
     sections = {r["section"]: r["lines"] for r in report.sections_frame(spark, text).collect()}
-    assert set(sections) == {"Panel checks", "Selection checks", "cells", "decomposition", "field_size"} and sections["cells"] == 14
+    assert set(sections) == {"Panel checks", "Selection checks", "Floors", "cells", "loose_exposure", "decomposition", "field_size", "exclusions", "curve", "fields_per_contributor", "fields_with_several", "filing_years"} and sections["cells"] == 14
+
+
+def identities(spark, tables):
+    """Old identities of the listings' slots, a release table and candidate records for them."""
+    slots = tables["listings"].collect()
+    release = [(r["doc_id"], r["sequence"], f"{r['doc_id']}-{r['sequence'] + 1}" if i % 3 else f"o-{r['contributor_id']}", r["contributor_id"]) for i, r in enumerate(slots)]
+    old = [(o, d) for d, _, o, _ in release]
+    names = sorted({o for o, _ in old})
+    records = [(o, "s", 3 + i % 4, 1980 + i % 40, f"{1980 + i % 40}-01-01", 1920 + i % 30) for i, o in enumerate(names)] + [(names[0], "t", 9, 2020, "2020-01-01", 1900), ("nobody", "s", 9, 2000, "2000-01-01", 1950), (names[1], "s", 5, 0, "x", None)]
+    years = [(o, 1921 + i % 30 if i % 7 else None, i % 5, 1, 1) for i, o in enumerate(names)]
+    return {
+        "release": spark.createDataFrame(release, "doc_id string, sequence int, release_old string, release_current string"),
+        "identity_documents": spark.createDataFrame(old, "identity_id string, doc_id string"),
+        "records": spark.createDataFrame(records, "identity_id string, source string, score int, event_year int, event_date string, birth_year int"),
+        "years": spark.createDataFrame(years, "identity_id string, preferred_year int, best_score int, sources_with_a_year int, sources_backing int"),
+        "names": spark.createDataFrame([(o, f"NAME {i % 5}, jr.") for i, o in enumerate(names)], "identity_id string, name string"),
+        "contributor_names": spark.createDataFrame(sorted({(c, f"Name {i}") for _, _, _, c in release for i in range(5)}), "contributor_id string, name string"),
+        "edges": spark.createDataFrame([(f"d{i % 25}", f"d{i % 45}", ("A", "R", " ")[i % 3]) for i in range(400)], "citing_id string, cited_id string, category string"),
+    }
+
+
+def test_edges_links_and_events_of_a_run(spark, tmp_path):
+    tables = synthetic(spark)
+    tables |= identities(spark, tables)
+    tree = {"floor": {"mode": "per_year", "percentile": 50}, "fields": {"widths": ["class", "subclass"]}, "edges": {"examiner": "R"}}
+    text = pipeline.run(spark, config.build(tree), tables, tmp_path / "a").read_text()
+    assert all(f"| {n} |" in text for n in ("edges", "links", "birth_years", "events")) and "MISSING" not in text
+    links, events = (store.read_table(spark, tmp_path / "a" / n) for n in ("links", "events"))
+    assert links.count() == tables["identity_documents"].select("identity_id").distinct().count() and {"agreement", "routes_agree", "documents"} <= set(links.columns)
+    assert events.count() > 0 and events.where("event_year not between 1986 and 2016 or identity_id = 'nobody'").count() == 0 and events.groupBy("person").count().where("count > 1").count() == 0
+    raw = config.build(tree | {"edges": {"deduplicate": False, "examiner": "R"}, "events": {"tie_rule": "drop"}, "link": {"require_identical": True}, "birth": {"treated_rule": "strict"}})
+    pipeline.run(spark, raw, {k: v for k, v in tables.items() if "names" not in k}, tmp_path / "b")
+    same = [store.read_table(spark, tmp_path / x / "edges") for x in "ab"]
+    assert same[0].columns == same[1].columns and same[0].agg(F.sum("records")).first()[0] == same[1].count() > same[0].count()
+    assert store.read_table(spark, tmp_path / "b" / "links").where("agreement <> 'identical'").count() == 0 and store.read_table(spark, tmp_path / "b" / "links").count() < links.count()
+    assert "Contributors that widths share" in (tmp_path / "a" / "report_widths.md").read_text() and "top-coded" in (tmp_path / "a" / "birth_years.md").read_text()
+    with pytest.raises(ValueError, match="below the floor"):
+        pipeline.run(spark, config.build(tree), tables | {"contributor_names": tables["contributor_names"].where("false")}, tmp_path / "c")
+
+
+def test_refused_settings(spark, tmp_path):
+    for tree, match in (
+        ({"counting": {"field_size": "fractional"}}, "whole documents only"), ({"select": {"metric": "citation_share"}}, "document_share"), ({"select": {"max_rank": 2}}, "rank 1 only"),
+        ({"select": {"cutoffs": [0.01, 0.02, 0.03, 0.05, 0.06, 0.07, 0.08]}}, "7 values and the figure 6 lines"),
+    ):
+        with pytest.raises(refusals.Refused, match=match):
+            pipeline.run(spark, config.build(tree), {}, tmp_path)
+    with pytest.raises(refusals.Refused, match="codes.assignment"):
+        refusals.filing_years_need_primary_codes(config.build({"codes": {"assignment": "all"}}))
+    assert refusals.floors_to_report(config.build())[0] == [True, False]
+    assert refusals.floors_to_report(config.build({"report": {"both_floors": False, "with_floor": False}}))[0] == [False]
 
 
 def test_command_line(spark, tmp_path, monkeypatch):
