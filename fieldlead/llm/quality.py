@@ -21,11 +21,13 @@ COMPONENTS = 64
 ROUNDS = 100
 #: Log-likelihood per segment must rise by this much for another round.
 MIN_GAIN = 1e-4
-#: Segments (about; those with the smallest hashes) that the driver sees to choose starting points. The fit itself uses every segment.
+#: Segments (about; those with the smallest hashes) that the driver sees to choose starting points, and how many of them the k-means
+#: before it. The fit itself uses every segment.
 START_SEGMENTS = 50_000
 START_TRIES = 5
+START_CENTRES = 10_000
 START_ROUNDS = 300
-START_GAIN = 1e-5
+START_GAIN = 5e-5
 #: Documents that are inspected to name the components.
 MAX_LABELLED = 20_000
 #: Common words are looked up in sets of at most this many.
@@ -286,7 +288,7 @@ def fit_mixture(table: DataFrame, components: int = COMPONENTS, rounds: int = RO
     scale = np.sqrt(np.maximum(sums[1 + d :] / n - centre**2, 0.0)) + 1e-6
     model = Mixture(centre, scale, np.full(components, 1 / components), np.zeros((components, d)), np.ones((components, d)))
     some = _sampled(table, start_segments / n)
-    model.mean = _starts(model.standardized(some).astype(float), components)
+    model.mean = _starts(model.standardized(some[:START_CENTRES]).astype(float), components)
     model = _maximize(model, lambda step, width: sum(step(some[at : at + _ROWS]) for at in range(0, len(some), _ROWS)), len(some), START_ROUNDS, START_GAIN)
     model = _maximize(model, lambda step, width: _sums(table, step, width), n, rounds, min_gain)
     if not model.converged:
