@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -42,6 +42,16 @@ def require_primary_rows(codes: DataFrame, primary: int) -> None:
         raise ValueError(f"code_sequence = {primary} matches no rows; the lowest sequence is {lowest[0]}")
 
 
+def assign_widths(codes: DataFrame, widths: Sequence[str], primary: int | None = 0, section: str | None = None) -> DataFrame:
+    """(doc_id, width, field_id) at several widths from one reading of the codes."""
+    for w in widths:
+        if w not in WIDTHS:
+            raise KeyError(f"unknown width {w!r}; known: {sorted(WIDTHS)}")
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), WIDTHS[w]().alias("field_id")) for w in widths]))
+    rows = read_codes(codes, primary, section).select("doc_id", each.alias("f")).select("doc_id", "f.width", "f.field_id")
+    return rows.where(F.col("field_id").isNotNull() & (F.col("field_id") != ""))
+
+
 def assign_fields(codes: DataFrame, width: str, primary: int | None = 0, section: str | None = None) -> DataFrame:
     """(doc_id, field_id) at a width. With ``primary=None`` every code counts, equal fields of one document included."""
     if width not in WIDTHS:

@@ -49,15 +49,16 @@ def levels(rows: DataFrame) -> DataFrame:
     return out.withColumn("second_distinct", second).withColumn("second_row", F.when(top_tied > 1, F.col("top")).otherwise(F.col("second_distinct")))
 
 
-def panel(rows: DataFrame, tie_rule: str = "competition", margin_cap: float | None = None) -> DataFrame:
+def panel(rows: DataFrame, tie_rule: str = "competition", margin_cap: float | None = None, weights: DataFrame | None = None) -> DataFrame:
     """Every contributor, field and window-year with share, rank, tie size and, at rank 1, two margins.
 
     ``margin`` is the first weight over the second row's (1 for a tied top), ``margin_dense`` over the
-    second distinct weight; null without a runner-up, or ``margin_cap`` if given.
+    second distinct weight; null without a runner-up, or ``margin_cap`` if given. ``weights`` are the
+    ``levels`` of the rows, where they are at hand.
     """
     if tie_rule not in TIE_RULES:
         raise ValueError(f"unknown tie rule {tie_rule!r}; known: {TIE_RULES}")
-    full = rows.join(levels(rows), ["field_id", "year", "weight"])
+    full = rows.join(levels(rows) if weights is None else weights, ["field_id", "year", "weight"])
     if tie_rule == "unique_by_id":
         within = Window.partitionBy("field_id", "year", "weight").orderBy("contributor_id")
         rank = F.col("rank_competition") - 1 + F.row_number().over(within)

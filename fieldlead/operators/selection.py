@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fieldlead.session import checkpointed
+
 PAIR = ["contributor_id", "field_id"]
 #: Shares are sums of floats in no fixed order; cutoffs are compared at this many decimals, so that a share that is exactly at a cutoff always meets it.
 DECIMALS = 12
@@ -124,7 +126,7 @@ def cells(hits: DataFrame, career: DataFrame, rules: Sequence[Rule], first: int,
     cell = ["rule", "with_floor"]
     cut = F.element_at(F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.min_share))]), F.col("rule"))
     inside = (F.col("first_year") > first) & (F.col("last_year") < last)
-    spells = pair_spells(hits).join(career, PAIR, "left")
+    spells = checkpointed(pair_spells(hits).join(career, PAIR, "left"))  # read three times
     totals = spells.groupBy(*cell, "contributor_id").agg(
         F.count("*").alias("pairs"), F.sum("years").alias("exposure"), F.min("years").alias("min_years"), F.max("years").alias("max_years"),
         F.count_if(F.col("last_year") - F.col("first_year") + 1 == F.col("years")).alias("contiguous"), F.count_if(~inside).alias("edge_touching"),

@@ -23,8 +23,10 @@ def universe(documents: DataFrame, first_year: int, last_year: int, types: Seque
 
 
 def team_counts(listings: DataFrame) -> DataFrame:
-    """Listings with ``team_size`` (listings of the document) and ``listings`` (of this contributor on it); one shuffle by document."""
-    return listings.withColumn("team_size", F.count("*").over(Window.partitionBy("doc_id"))).withColumn("listings", F.count("*").over(Window.partitionBy("doc_id", "contributor_id")))
+    """Listings with ``team_size`` (listings of the document) and ``listings`` (of this contributor on it); one shuffle by document, one sort for both."""
+    document = Window.partitionBy("doc_id")
+    own = F.count("*").over(Window.partitionBy("doc_id", "contributor_id"))  # first: its order serves the other
+    return listings.withColumn("listings", own).withColumn("team_size", F.count("*").over(document))
 
 
 def spine(listings: DataFrame, fields: DataFrame, counting: str = "fractional", split_codes: bool = False) -> DataFrame:

@@ -72,6 +72,15 @@ def windowed(spark: SparkSession, d: str, width: str = MIDDLE, counting: str = "
     return panel.windows(panel.activity(credited(spark, d, width, counting)), SPAN, FIRST_WINDOW, LAST_WINDOW)
 
 
+def shares_at_widths(spark: SparkSession, d: str, widths: tuple[str, ...]) -> DataFrame:
+    """(width, contributor_id, field_id, year, share) at several widths in one pass; shares need no ranks."""
+    own = fields.assign_widths(codes(spark, d), widths).select("doc_id", F.struct("width", "field_id").alias("field_id"))
+    rows = panel.windows(panel.activity(spine.spine(listings(spark, d), own)), SPAN, FIRST_WINDOW, LAST_WINDOW)
+    totals = rows.groupBy("field_id", "year").agg(F.sum("weight").alias("field_weight"))
+    shares = rows.join(totals, ["field_id", "year"])
+    return shares.select("field_id.width", "contributor_id", "field_id.field_id", "year", (F.col("weight") / F.col("field_weight")).alias("share"))
+
+
 def panel_rows(spark: SparkSession, d: str, width: str = MIDDLE, tie_rule: str = "competition", margin_cap: float | None = None) -> DataFrame:
     return panel.panel(windowed(spark, d, width), tie_rule, margin_cap)
 
@@ -81,15 +90,14 @@ def heads(spark: SparkSession, d: str, width: str = MIDDLE) -> DataFrame:
     return panel.head_counts(dated, SPAN, FIRST_WINDOW, LAST_WINDOW)
 
 
-def field_years(spark: SparkSession, d: str, width: str = MIDDLE, rows: DataFrame | None = None) -> DataFrame:
-    """Field-years; from the distinct weights alone where no panel (``rows``) is at hand."""
-    if rows is None:
-        return panel.field_years_from_levels(panel.levels(windowed(spark, d, width)), heads(spark, d, width), SPAN)
-    return panel.field_years(rows, heads(spark, d, width))
+def field_years(spark: SparkSession, d: str, width: str = MIDDLE, weights: DataFrame | None = None) -> DataFrame:
+    """Field-years, from the distinct weights of the windows alone."""
+    weights = panel.levels(windowed(spark, d, width)) if weights is None else weights
+    return panel.field_years_from_levels(weights, heads(spark, d, width), SPAN)
 
 
-def floored(spark: SparkSession, d: str, width: str = MIDDLE, mode: str = "per_year", value: float = 50.0, rows: DataFrame | None = None) -> DataFrame:
-    years = field_years(spark, d, width, rows)
+def floored(spark: SparkSession, d: str, width: str = MIDDLE, mode: str = "per_year", value: float = 50.0, weights: DataFrame | None = None) -> DataFrame:
+    years = field_years(spark, d, width, weights)
     return panel.with_floor(years, panel.floors(years, mode, value, FIRST_EVENT, LAST_EVENT))
 
 

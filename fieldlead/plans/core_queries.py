@@ -163,9 +163,11 @@ spells AS (
 
 
 def _hit_rows(spark: SparkSession, d: str, width: str = b.MIDDLE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    # read three times: by the field-years, by the pool and by the careers
-    rows = checkpointed(b.panel_rows(spark, d, width))
-    years = b.floored(spark, d, width, rows=rows)
+    # the windows are read twice, by the pool and by the careers, their distinct weights by the field-years besides
+    windows = checkpointed(b.windowed(spark, d, width))
+    weights = checkpointed(panel.levels(windows))
+    rows = panel.panel(windows, weights=weights)
+    years = b.floored(spark, d, width, weights=weights)
     candidates = selection.pool(rows, years, RULES, b.FIRST_EVENT, b.LAST_EVENT)
     return selection.qualifying(candidates, RULES), rows, years
 
@@ -686,15 +688,19 @@ per AS (SELECT field_id, count(DISTINCT contributor_id) AS n FROM hits WHERE rul
 SELECT count(*) AS fields, count(*) FILTER (WHERE n > 1) AS several, max(n) AS most FROM per""")(lambda s, d: selection.fields_with_several(_working(s, d)))
 
 
+#: Widths are compared at a low cutoff: wide fields have few large shares.
+_SHARED_CUTOFF = selection.Rule("shared", 0.02)
+
+
 def _width_sql(width: str) -> str:
-    return f"(WITH {_hits(width)}\n SELECT DISTINCT '{width}' AS width, contributor_id FROM hits WHERE rule = '{RULES[1].name}')"
+    return f"(WITH {_panel(width)}\n SELECT DISTINCT '{width}' AS width, contributor_id FROM panel WHERE year BETWEEN {b.FIRST_EVENT} AND {b.LAST_EVENT} AND {_rule_sql(_SHARED_CUTOFF)})"
 
 
 @_query("width_overlap", "left right shared:i", f"""WITH sets AS ({' UNION ALL '.join(_width_sql(w) for w in (b.BROAD, b.MIDDLE, b.NARROW))})
 SELECT a.width AS "left", c.width AS "right", count(*) AS shared FROM sets a JOIN sets c USING (contributor_id) WHERE a.width < c.width GROUP BY 1, 2""")
 def _overlap(spark, d):
-    parts = [_satisfying(spark, d, RULES[1], w).select(F.lit(w).alias("width"), "contributor_id") for w in (b.BROAD, b.MIDDLE, b.NARROW)]
-    return selection.overlap(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    shares = b.shares_at_widths(spark, d, (b.BROAD, b.MIDDLE, b.NARROW))
+    return selection.overlap(shares.where(F.col("year").between(b.FIRST_EVENT, b.LAST_EVENT) & _SHARED_CUTOFF.test()))
 
 
 @_query("filing_years_behind_run", "contributor_id:i field_id filing_years:i", f"""WITH {_hits()},
