@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import csv
+import io
 import time
 from dataclasses import asdict, dataclass, fields
-from pathlib import Path
+from os import PathLike
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fieldlead.files import Place
+
 #: A reason shorter than this explains nothing and is refused.
 MIN_REASON = 20
 
@@ -40,10 +43,11 @@ class Ledger:
     not zero, where the column is absent. With ``count=False`` nothing is counted.
     """
 
-    def __init__(self, document: str = "doc_id", contributor: str = "contributor_id", log: str | Path | None = None, count: bool = True):
+    def __init__(self, document: str = "doc_id", contributor: str = "contributor_id", log: str | PathLike | None = None, count: bool = True):
         self.document, self.contributor, self.count = document, contributor, count
         self.entries: list[Entry] = []
-        self.log = Path(log) if log else None
+        self.log = Place(log) if log else None
+        self._lines: list[str] = []
         self._memo: tuple[DataFrame, tuple] | None = None
 
     def _counts(self, df: DataFrame) -> tuple[int | None, int | None, int | None]:
@@ -63,10 +67,11 @@ class Ledger:
         share = round(dropped / before[0], 6) if dropped is not None and before[0] else None
         entry = Entry(len(self.entries) + 1, kind, name, condition, before[0], after[0], dropped, share, before[1], after[1], before[2], after[2], round(time.time() - began, 3), why)
         self.entries.append(entry)
-        if self.log:
-            self.log.parent.mkdir(parents=True, exist_ok=True)
-            with self.log.open("a") as f:
-                f.write(f"{entry.order} {kind} {name}: {before[0]} -> {after[0]} ({why})\n")
+        if self.log:  # file systems of clusters do not append; the log is short
+            if not self._lines and self.log.exists():
+                self._lines = self.log.read_text().splitlines()
+            self._lines.append(f"{entry.order} {kind} {name}: {before[0]} -> {after[0]} ({why})")
+            self.log.write_text("\n".join(self._lines) + "\n")
 
     @staticmethod
     def _reason(why: str) -> None:
@@ -99,15 +104,15 @@ class Ledger:
         rows = [(e.order, e.kind, e.name, *[getattr(e, n) for n in names]) for e in self.entries]
         return spark.createDataFrame(rows, "order int, kind string, name string, " + ", ".join(f"{n} bigint" for n in names))
 
-    def finish(self, folder: str | Path) -> list[Path]:
+    def finish(self, folder: str | PathLike) -> list[Place]:
         """Write ``funnel.csv`` and ``diary.md``."""
-        out = Path(folder)
-        out.mkdir(parents=True, exist_ok=True)
+        out = Place(folder).make()
         table, diary = out / "funnel.csv", out / "diary.md"
-        with table.open("w", newline="") as f:
-            writer = csv.DictWriter(f, [x.name for x in fields(Entry)])
-            writer.writeheader()
-            writer.writerows(asdict(e) for e in self.entries)
+        text = io.StringIO()
+        writer = csv.DictWriter(text, [x.name for x in fields(Entry)], lineterminator="\n")
+        writer.writeheader()
+        writer.writerows(asdict(e) for e in self.entries)
+        table.write_text(text.getvalue())
         lines = ["# What happened to the rows", ""]
         for e in self.entries:
             lines.append(f"{e.order}. **{e.name}** ({e.kind}): {e.why}" if e.kind == "note" else f"{e.order}. **{e.name}** ({e.kind}): {e.rows_before} -> {e.rows_after} rows. {e.why}")

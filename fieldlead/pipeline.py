@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Mapping
-from pathlib import Path
+from os import PathLike
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldlead import checks, guard, refusals, report, store
 from fieldlead.config import Config
+from fieldlead.files import Place
 from fieldlead.ledger import Ledger
 from fieldlead.operators import edges, evidence, fields, link, panel, selection, spine
 
 
-def build(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], out: str | Path, ledger: Ledger | None = None) -> dict[str, Path]:
+def build(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], out: str | PathLike, ledger: Ledger | None = None) -> dict[str, Place]:
     """Universe, document fields and spine from documents, listings and codes (see the operators for their columns)."""
-    folder, ledger = Path(out), ledger or Ledger()
+    folder, ledger = Place(out), ledger or Ledger()
     primary = cfg["codes.primary_sequence"] if cfg["codes.assignment"] == "primary" else None
     section = cfg["sample.section"] if cfg["sample.enabled"] else None
     if primary is not None:
@@ -46,9 +47,9 @@ def build(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], out
     return paths
 
 
-def build_edges(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], built: Mapping[str, Path], out: str | Path, ledger: Ledger) -> dict[str, Path]:
+def build_edges(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], built: Mapping[str, Place], out: str | PathLike, ledger: Ledger) -> dict[str, Place]:
     """Edges to the universe, collapsed under the conflict rule or as they came; both have the same columns."""
-    target, known = Path(out) / "edges", store.read_table(spark, built["documents"])
+    target, known = Place(out) / "edges", store.read_table(spark, built["documents"])
     received = edges.edges_received(tables["edges"], tables["documents"].where("grant_date is not null").select("doc_id", "grant_date"), known.select("doc_id", "year"), known)
     if cfg["edges.deduplicate"]:
         rows = edges.collapse_edges(received, cfg["edges.conflict_rule"], cfg["edges.examiner"])
@@ -60,14 +61,14 @@ def build_edges(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame
     return {"edges": target}
 
 
-def build_links(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], out: str | Path, ledger: Ledger) -> dict[str, Path]:
+def build_links(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], out: str | PathLike, ledger: Ledger) -> dict[str, Place]:
     """Old identities and the contributors they are now, by both routes, with what is known about each link.
 
     ``identity_documents`` (identity_id, doc_id) names the documents of every old identity, ``release``
     (doc_id, sequence and a column per release) who held each slot, ``names`` (identity_id, name) and
     ``contributor_names`` (contributor_id, name), if there, test the links.
     """
-    target = Path(out) / "links"
+    target = Place(out) / "links"
     listed = tables["listings"].select("doc_id", "sequence", "contributor_id")
     old, now = cfg["link.old_release"], cfg["link.current_release"]
     link.require_release(tables["release"], old, cfg["link.prefix"])
@@ -96,13 +97,13 @@ def build_links(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame
     return {"links": target}
 
 
-def build_events(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], links: Path, out: str | Path, ledger: Ledger) -> dict[str, Path]:
+def build_events(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], links: Place, out: str | PathLike, ledger: Ledger) -> dict[str, Place]:
     """Birth years and events, one row per person each.
 
     ``records`` are the candidate records of events (see ``evidence``), ``years`` (identity_id,
     preferred_year, best_score and the source counts) the reconciled birth years.
     """
-    folder = Path(out)
+    folder = Place(out)
     owned = store.read_table(spark, links)
     people = owned.select("identity_id", F.col("contributor_id").alias("person"))
     usable = evidence.usable_records(tables["records"], cfg["events.min_score"])
@@ -129,9 +130,9 @@ def build_events(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFram
     return paths
 
 
-def measure(spark: SparkSession, cfg: Config, built: Mapping[str, Path], out: str | Path, width: str) -> tuple[dict[str, Path], list[checks.Check]]:
+def measure(spark: SparkSession, cfg: Config, built: Mapping[str, Place], out: str | PathLike, width: str) -> tuple[dict[str, Place], list[checks.Check]]:
     """Panel and field-years of a width; the checks run on what was written and stop the run after it."""
-    folder = Path(out)
+    folder = Place(out)
     refusals.before_measuring(cfg)
     store.require_same_config([built["documents"], built[f"spine_{width}"]], cfg)
     first, last, span = cfg["measure.first_year"], cfg["measure.last_year"], cfg["windows.span"]
@@ -154,7 +155,7 @@ def measure(spark: SparkSession, cfg: Config, built: Mapping[str, Path], out: st
     return paths, [*found, checks.check_floor(stored, again)]
 
 
-def select(spark: SparkSession, cfg: Config, built: Mapping[str, Path], measured: Mapping[str, Path], out: str | Path, width: str, force: bool = False) -> tuple[dict[str, DataFrame], list[checks.Check]]:
+def select(spark: SparkSession, cfg: Config, built: Mapping[str, Place], measured: Mapping[str, Place], out: str | PathLike, width: str, force: bool = False) -> tuple[dict[str, DataFrame], list[checks.Check]]:
     """Candidate pool (reused while fresh, unless ``force``) and the tables of all rules."""
     refusals.before_selecting(cfg)
     store.require_same_config(list(measured.values()), cfg)
@@ -162,7 +163,7 @@ def select(spark: SparkSession, cfg: Config, built: Mapping[str, Path], measured
     rules = selection.rule_list(cfg["select.cutoffs"], cfg["select.max_rank"], cfg["select.min_margin"], cfg["select.min_share"])
     working = next(r.name for r in rules if r.max_rank is None and r.min_share == cfg["select.working_cutoff"])
     rows, years = store.read_table(spark, measured["panel"]), store.read_table(spark, measured["field_years"])
-    target = Path(out) / f"candidates_{width}"
+    target = Place(out) / f"candidates_{width}"
     if force or not store.is_fresh(target, cfg, list(measured.values())):
         pool = selection.pool(rows, years, rules, max(first - span + 1, cfg["measure.first_year"]), last)
         faults = selection.pool_faults(pool).first().asDict()
@@ -191,7 +192,7 @@ def select(spark: SparkSession, cfg: Config, built: Mapping[str, Path], measured
     return results, checks.check_cells(small["cells"], small["loose_exposure"], small["decomposition"], names, span)
 
 
-def run(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], out: str | Path, force: bool = False) -> Path:
+def run(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], out: str | PathLike, force: bool = False) -> Place:
     """All stages at all widths, with reports; failed checks stop the run after the files are written.
 
     ``tables`` has documents, listings and codes; with ``edges`` the edges are built too, with
@@ -199,7 +200,7 @@ def run(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], out:
     """
     refusals.before_measuring(cfg)
     refusals.before_selecting(cfg)
-    folder, ledger = Path(out), Ledger(log=Path(out) / "session.log")
+    folder, ledger = Place(out), Ledger(log=Place(out) / "session.log")
     built = build(spark, cfg, tables, folder, ledger)
     if "edges" in tables:
         built |= build_edges(spark, cfg, tables, built, folder, ledger)

@@ -174,3 +174,32 @@ def test_hopping_windows(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("hops").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination(60)
     assert spark.table("hops").where("k = 'a' and total = 3.0").count() == 3
+
+
+def test_places_on_any_file_system(spark, tmp_path):
+    from fieldlead.files import Place
+
+    for root in (Place(tmp_path), Place(f"file://{tmp_path}")):
+        at = root / "a" / "b.txt"
+        assert at.name == "b.txt" and at.sibling("c.txt") == root / "a" / "c.txt" and not at.exists()
+        at.write_text("Zeile ü\n")
+        assert at.exists() and at.read_text() == "Zeile ü\n" and [p.name for p in (root / "a").inside()] == ["b.txt"]
+        at.rename(at.sibling("c.txt"))
+        assert not at.exists() and at.sibling("c.txt").read_text() == "Zeile ü\n" and at.sibling("c.txt").modified() > 0
+        with pytest.raises(OSError, match="could not be renamed"):
+            (root / "none").rename(root / "other")
+        (root / "a").delete()
+        (root / "a").delete()
+        assert (root / "a").inside() == []
+    cfg = config.build()
+    store.write_table(spark.range(4), f"file://{tmp_path}/t", cfg, "s")
+    assert store.read_note(tmp_path / "t")["rows"] == 4 and store.read_table(spark, f"file://{tmp_path}/t").count() == 4
+
+
+def test_versions_are_read_by_number(spark, tmp_path):
+    cfg = config.build()
+    for i in range(12):
+        store.write_text(tmp_path, "r.md", f"{i}\n", cfg)
+    assert store.edited_by_hand(tmp_path, ["r.md"]) == []
+    (tmp_path / "r.md").write_text("9\n")
+    assert store.edited_by_hand(tmp_path, ["r.md"]) == ["r.md"]
