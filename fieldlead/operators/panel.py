@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fieldlead.session import checkpointed
+
 DECIMALS = 9
 TIE_RULES = ("competition", "dense", "unique_by_id")
 
@@ -49,6 +51,23 @@ def levels(rows: DataFrame) -> DataFrame:
     return out.withColumn("second_distinct", second).withColumn("second_row", F.when(top_tied > 1, F.col("top")).otherwise(F.col("second_distinct")))
 
 
+def _numbered_ties(rows: DataFrame) -> DataFrame:
+    """Rows with ``_place``: 1, 2, ... by contributor_id among those of one field, year and weight.
+
+    Rows are laid out in the order of the four columns and numbered within their part; what stands in
+    earlier parts comes from counts per part. Most contributors of a field may share one weight: they fill as
+    many parts as they need, and no window spans more than one.
+    """
+    tie = ["field_id", "year", "weight"]
+    # the parts are kept, for they would come out differently if they were cut again
+    placed = checkpointed(rows.repartitionByRange(*tie, "contributor_id").withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy(*tie, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*tie).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = counts.withColumn("_ahead", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*tie, "_part").orderBy("contributor_id"))
+    return placed.withColumn("_within", within).join(ahead, [*tie, "_part"]).withColumn("_place", F.col("_ahead") + F.col("_within"))
+
+
 def panel(rows: DataFrame, tie_rule: str = "competition", margin_cap: float | None = None, weights: DataFrame | None = None) -> DataFrame:
     """Every contributor, field and window-year with share, rank, tie size and, at rank 1, two margins.
 
@@ -60,8 +79,8 @@ def panel(rows: DataFrame, tie_rule: str = "competition", margin_cap: float | No
         raise ValueError(f"unknown tie rule {tie_rule!r}; known: {TIE_RULES}")
     full = rows.join(levels(rows) if weights is None else weights, ["field_id", "year", "weight"])
     if tie_rule == "unique_by_id":
-        within = Window.partitionBy("field_id", "year", "weight").orderBy("contributor_id")
-        rank = F.col("rank_competition") - 1 + F.row_number().over(within)
+        full = _numbered_ties(full)
+        rank = F.col("rank_competition") - 1 + F.col("_place")
     else:
         rank = F.col("rank_competition" if tie_rule == "competition" else "rank_dense")
     first = F.col("rank_competition") == 1

@@ -446,6 +446,36 @@ def _agreement(spark, d):
     return link.set_agreement(link.release_link(b.release_pairs(spark, d)), b.identity_documents(spark, d), b.contributor_documents(spark, d))
 
 
+_ORDERS_ALIKE = """WITH listed AS (SELECT l_orderkey AS k, l_partkey AS doc_id FROM lineitem),
+links AS (SELECT DISTINCT k AS identity_id, k + k % 2 AS contributor_id FROM listed),
+sizes AS (SELECT k, count(DISTINCT doc_id) AS n FROM listed GROUP BY 1),
+shared AS (SELECT identity_id, contributor_id, count(*) AS n FROM links JOIN (SELECT DISTINCT k, doc_id FROM listed) a ON a.k = identity_id JOIN listed c ON c.k = contributor_id AND c.doc_id = a.doc_id GROUP BY 1, 2),
+verdicts AS (
+  SELECT identity_id, contributor_id, CASE WHEN s.n = l.n AND r.n = l.n THEN 'identical' WHEN s.n = l.n THEN 'right_has_more' WHEN s.n >= 1 THEN 'split_differently' ELSE 'no_overlap' END AS agreement
+  FROM links JOIN sizes l ON l.k = identity_id JOIN sizes r ON r.k = contributor_id LEFT JOIN shared s USING (identity_id, contributor_id))"""
+
+
+@_query("vintage_identical", "identity_id:i contributor_id:i agreement", f"{_ORDERS_ALIKE}\nSELECT identity_id, contributor_id, agreement FROM verdicts WHERE agreement = 'identical'")
+def _identical(spark, d):
+    """Identities and contributors of one order each, so that the documents of some pairs are the same."""
+    orders = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("identity_id"), F.col("l_partkey").alias("doc_id"))
+    links = orders.select("identity_id", (F.col("identity_id") + F.col("identity_id") % 2).alias("contributor_id")).distinct()
+    verdicts = link.set_agreement(links, orders, orders.withColumnRenamed("identity_id", "contributor_id"))
+    return link.same_vintage(links, verdicts, True)
+
+
+_RELEASE = "(SELECT l_orderkey AS doc_id, l_linenumber AS sequence, CASE WHEN l_partkey % 20 = 0 THEN '' WHEN l_partkey % 20 = 1 THEN CAST(l_partkey AS varchar) ELSE CAST(l_suppkey AS varchar) END AS held, CAST(l_suppkey AS varchar) AS listed FROM lineitem)"
+
+
+@_query("anchor_agreement", "compared:i agreeing:i share:f", f"""WITH slots AS {_RELEASE},
+both_ AS (SELECT a.held, c.listed FROM slots a JOIN slots c ON c.doc_id = a.doc_id AND c.sequence = a.sequence WHERE a.held <> '')
+SELECT count(*) AS compared, count(*) FILTER (WHERE held = listed) AS agreeing, count(*) FILTER (WHERE held = listed) / count(*)::double AS share FROM both_""")
+def _anchor(spark, d):
+    lines = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("sequence"), F.col("l_suppkey").alias("contributor_id"), "l_partkey")
+    held = F.when(F.col("l_partkey") % 20 == 0, "").when(F.col("l_partkey") % 20 == 1, F.col("l_partkey").cast("string")).otherwise(F.col("contributor_id").cast("string"))
+    return link.anchor_agreement(lines.select("doc_id", "sequence", held.alias("release_now")), lines.select("doc_id", "sequence", "contributor_id"), "release_now")
+
+
 @_query("name_agreement", "compared:i agreeing:i share:f", f"""WITH {_PAIRS},
 named AS (SELECT identity_id, contributor_id, n1.n_name AS a, n2.n_name AS c FROM release_link JOIN customer ON c_custkey = identity_id JOIN nation n1 ON n1.n_nationkey = c_nationkey
   JOIN supplier ON s_suppkey = contributor_id JOIN nation n2 ON n2.n_nationkey = s_nationkey)

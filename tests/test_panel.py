@@ -179,3 +179,13 @@ def test_floor_checks_follow_the_rule(spark):
     fields = spark.createDataFrame([("F", 1, 10, 10.0, False), ("G", 1, 20, 10.0, True)], "field_id string, year int, field_documents bigint, floor double, clears_floor boolean")
     assert checks.check_floor(fields, panel.floors(fields, "absolute", 10)).passed
     assert not checks.check_floor(fields, panel.floors(fields, "absolute", 11)).passed
+
+
+def test_unique_ranks_of_a_hot_tie(spark):
+    """Two thirds of a field share one weight; the ranks are those of one window over the field."""
+    from pyspark.sql import Window
+
+    df = spark.range(3000).select(F.format_string("c%05d", (F.col("id") * 7) % 3000).alias("contributor_id"), F.lit("F").alias("field_id"), F.lit(1).alias("year"), F.when(F.col("id") % 3 == 0, F.col("id") % 11 + 2.0).otherwise(1.0).alias("weight"), F.lit(1).alias("documents"), F.lit(-3).alias("window_first_year"))
+    want = df.withColumn("want", F.row_number().over(Window.partitionBy("field_id", "year").orderBy(F.desc("weight"), "contributor_id")))
+    got = panel.panel(df, "unique_by_id").join(want.select("contributor_id", "want"), "contributor_id")
+    assert got.count() == 3000 and got.where("rank <> want").count() == 0
