@@ -17,6 +17,7 @@ def main(argv: list[str] | None = None) -> int:
     convert = commands.add_parser("convert", help="zipped delimited text to Parquet")
     convert.add_argument("archives", nargs="+")
     convert.add_argument("--out", required=True)
+    convert.add_argument("--split", action="store_true", help="read each file in several tasks; its quotes must be sound")
     run = commands.add_parser("run", help="all stages from Parquet tables")
     run.add_argument("--config")
     run.add_argument("--data", help="folder with documents, listings, codes and, if there, edges, identity_documents, release, records, years, names and contributor_names as Parquet; defaults to the configuration's")
@@ -28,7 +29,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "convert":
         Path(args.out).mkdir(parents=True, exist_ok=True)
         for archive in args.archives:
-            path, rows = delimited.convert_archive(spark, archive, args.out, args.force)
+            path, rows = delimited.convert_archive(spark, archive, args.out, args.force, args.split)
             print(f"{path}: {'kept' if rows is None else f'{rows:,} rows'}")
         return 0
     cfg = config.load(args.config) if args.config else config.build(known_widths=lambda: set(WIDTHS))

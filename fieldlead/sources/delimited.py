@@ -6,10 +6,11 @@ import os
 import shutil
 import tempfile
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
@@ -37,6 +38,74 @@ def read_delimited(spark: SparkSession, path: str | Path, separator: str = "\t",
     return reader.csv(str(path))
 
 
+def _records(header: bool):
+    """Lines in file order, with whether their block begins inside quotes -> records: (file, block, kind, text).
+
+    ``kind``: 0 a whole record, 1 the end of one that an earlier block began, 2 the beginning of one that a
+    later block ends, 3 a block that lies wholly inside one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block: tuple | None = None
+        kept: list[str] = []
+        began = inside = False  # whether the block began inside quotes and no record has ended since; whether quotes are open
+        skip = False
+        for pdf in batches:
+            out: list[tuple] = []
+            for file, start, opened, value in pdf.itertuples(index=False):
+                if (file, start) != block:
+                    if kept:
+                        out.append((*block, 3 if began else 2, "\n".join(kept)))
+                    block, kept, began, inside, skip = (file, start), [], bool(opened), bool(opened), header and start == 0
+                kept.append(value)
+                inside ^= value.count('"') % 2 == 1
+                if inside:
+                    continue
+                text = "\n".join(kept)
+                if began:
+                    out.append((*block, 1, text))
+                elif skip:
+                    skip = False
+                elif text.rstrip("\r"):  # blank lines are no records
+                    out.append((*block, 0, text.rstrip("\r")))
+                kept, began = [], False
+            if out:
+                yield pd.DataFrame(out, columns=["file", "block", "kind", "text"])
+        if kept:
+            yield pd.DataFrame([(*block, 3 if began else 2, "\n".join(kept))], columns=["file", "block", "kind", "text"])
+
+    return run
+
+
+def read_split(spark: SparkSession, path: str | Path, separator: str = "\t", columns: Sequence[str] | None = None) -> DataFrame:
+    """The same table as ``read_delimited``, read in as many tasks as the files have blocks.
+
+    Whether a block of a file begins inside a quoted field follows from the number of quotes before it: they are
+    counted per block in one pass and summed along each file (a row per block). The second pass cuts every
+    block into records; only the pieces of records that reach over a block's end, at most two a block, meet
+    again. For files whose quotes are sound, a quote within an unquoted field is not; a file that ends
+    inside quotes is refused.
+    """
+    names = list(columns) if columns is not None else header_of(path, separator)
+    lines = spark.read.option("lineSep", "\n").text(str(path)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    blocks = lines.groupBy("file", "block").agg(F.sum(quotes).alias("quotes"))
+    along = Window.partitionBy("file").orderBy("block")
+    parity = blocks.select(
+        "file", "block", (F.coalesce(F.sum("quotes").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2 == 1).alias("opened"), (F.sum("quotes").over(Window.partitionBy("file")) % 2 == 1).alias("broken"),
+    )
+    sound = parity.withColumn("opened", F.when(F.col("broken"), F.raise_error(F.concat(F.lit("a quoted field is not closed in "), F.col("file")))).otherwise(F.col("opened"))).drop("broken")
+    # a broadcast join keeps the order of the lines; the table has one row per block of a file
+    marked = lines.join(F.broadcast(sound), ["file", "block"]).select("file", "block", "opened", "value")
+    pieces = marked.mapInPandas(_records(True), "file string, block bigint, kind int, text string")
+    order = Window.partitionBy("file").orderBy("block", (F.col("kind") == 2).cast("int"))
+    cut = pieces.where("kind > 0").withColumn("chain", F.sum((F.col("kind") == 2).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = cut.groupBy("file", "chain").agg(F.array_sort(F.collect_list(F.struct("block", (F.col("kind") == 2).cast("int").alias("k"), "text"))).alias("p"))
+    text = pieces.where("kind = 0").select("text").unionByName(whole.select(F.rtrim(F.array_join(F.transform("p", lambda x: x["text"]), "\n"), F.lit("\r")).alias("text")))
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return text.select(F.from_csv("text", schema, {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+
+
 def read_typed(spark: SparkSession, path: str | Path, types: dict[str, str], separator: str = ",") -> DataFrame:
     """The same, with the named columns cast; what cannot be cast becomes null."""
     raw = read_delimited(spark, path, separator)
@@ -55,8 +124,8 @@ def extract_single(archive: str | Path, folder: str | Path) -> Path:
         return Path(z.extract(members[0], folder))
 
 
-def convert_archive(spark: SparkSession, archive: str | Path, folder: str | Path, force: bool = False) -> tuple[Path, int | None]:
-    """Zip archive -> Parquet (zstd) of the same name; returns the path and the rows, or None where the output stood already."""
+def convert_archive(spark: SparkSession, archive: str | Path, folder: str | Path, force: bool = False, split: bool = False) -> tuple[Path, int | None]:
+    """Zip archive -> Parquet (zstd) of the same name; returns the path and the rows, or None where the output stood already. ``split`` reads with ``read_split``."""
     name = Path(archive).name.removesuffix(".zip")
     target = Path(folder) / f"{name}.parquet"
     if target.exists() and not force:
@@ -65,7 +134,7 @@ def convert_archive(spark: SparkSession, archive: str | Path, folder: str | Path
     try:
         source = extract_single(archive, scratch)
         part = Path(folder) / f"unfinished_{target.name}"
-        read_delimited(spark, source, "," if source.suffix == ".csv" else "\t").write.mode("overwrite").option("compression", "zstd").parquet(str(part))
+        (read_split if split else read_delimited)(spark, source, "," if source.suffix == ".csv" else "\t").write.mode("overwrite").option("compression", "zstd").parquet(str(part))
         if target.exists():
             shutil.rmtree(target)
         part.rename(target)

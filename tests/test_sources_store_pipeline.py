@@ -203,3 +203,28 @@ def test_versions_are_read_by_number(spark, tmp_path):
     assert store.edited_by_hand(tmp_path, ["r.md"]) == []
     (tmp_path / "r.md").write_text("9\n")
     assert store.edited_by_hand(tmp_path, ["r.md"]) == ["r.md"]
+
+
+def test_split_reading_gives_the_same_table(spark, tmp_path, rows):
+    """Blocks of 40 bytes: nearly every record is cut somewhere, some span several blocks."""
+    random.seed(12)
+
+    def field(i):
+        plain = random.choice(["", "x", "007", "0000-00-00", "ü é", "long " * random.randrange(1, 12)])
+        return '"' + (plain + random.choice(["", "\t", "\n", '""', "\n\n", 'a ""b""\tc'])) + '"' if random.random() < 0.4 else plain
+
+    for end in ("\n", "\r\n"):
+        lines = ["id\tname\tday"] + [f"{i}\t{field(i)}\t{field(i)}" if i % 9 else f"{i}\tshort" for i in range(300)]
+        path = tmp_path / f"t{len(end)}.tsv"
+        path.write_bytes((end.join(lines) + (end if end == "\n" else "")).encode())
+        want = rows(delimited.read_delimited(spark, path))
+        for size in ("40", "1000", "134217728"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            try:
+                got = delimited.read_split(spark, path)
+                assert got.columns == ["id", "name", "day"] and rows(got) == want, (end, size)
+            finally:
+                spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "open.tsv").write_text('id\tname\n1\t"never closed\n2\tx\n')
+    with pytest.raises(Exception, match="not closed"):
+        delimited.read_split(spark, tmp_path / "open.tsv").collect()

@@ -23,8 +23,11 @@ def test_edges_to_every_product(spark, tmp_path, rows, name, want):
     lines = [(1, 7, "R"), (1, 7, "A"), (1, 8, "R"), (1, 8, "A")]
     spark.createDataFrame([(*x, "2000-01-01") for x in lines], "l_suppkey long, l_partkey long, l_returnflag string, l_shipdate string").write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.createDataFrame([(7, 25), (8, 26)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
-    spark.createDataFrame([(1, 5.0)], "s_suppkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(1, 5.0, 4)], "s_suppkey long, s_acctbal double, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
     got = core_queries.QUERIES[name](spark, str(tmp_path))
+    citer = ("citing_grant_date", "citing_grant_year", "citing_application_year")
+    assert {tuple(map(str, r)) for r in got.select(*citer).collect()} == {("2000-01-01", "2000", "1974")}
+    got = got.drop(*citer)
     assert got.count() == want if isinstance(want, int) else rows(got) == want
 
 
