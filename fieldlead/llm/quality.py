@@ -20,14 +20,14 @@ COMPONENTS = 64
 #: Rounds over all segments after which a fit that still moves is reported.
 ROUNDS = 100
 #: Log-likelihood per segment must rise by this much for another round.
-MIN_GAIN = 1e-4
+MIN_GAIN = 5e-4
 #: Segments (about; those with the smallest hashes) that the driver sees to choose starting points, and how many of them the k-means
 #: before it. The fit itself uses every segment.
-START_SEGMENTS = 50_000
+START_SEGMENTS = 100_000
 START_TRIES = 5
 START_CENTRES = 10_000
-START_ROUNDS = 300
-START_GAIN = 5e-5
+START_ROUNDS = 500
+START_GAIN = 2e-5
 #: Documents that are inspected to name the components.
 MAX_LABELLED = 20_000
 #: Common words are looked up in sets of at most this many.
@@ -226,11 +226,12 @@ def _step(model: Mixture, x: np.ndarray) -> np.ndarray:
 
 
 def _improved(model: Mixture, sums: np.ndarray) -> Mixture:
+    """The maximization step. Variances have a floor, which they may lie at but not below: so the likelihood never falls."""
     k, d = model.mean.shape
     mass = sums[1 : 1 + k] + 1e-9
     mean = sums[1 + k : 1 + k + k * d].reshape(k, d) / mass[:, None]
     square = sums[1 + k + k * d :].reshape(k, d) / mass[:, None]
-    return Mixture(model.centre, model.scale, np.maximum(mass / mass.sum(), 1e-12), mean, np.maximum(square - mean**2, 0.0) + _VARIANCE_FLOOR, model.rounds + 1)
+    return Mixture(model.centre, model.scale, np.maximum(mass / mass.sum(), 1e-12), mean, np.maximum(square - mean**2, _VARIANCE_FLOOR), model.rounds + 1)
 
 
 def _maximize(model: Mixture, summed, n: float, rounds: int, min_gain: float) -> Mixture:

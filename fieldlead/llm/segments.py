@@ -23,7 +23,7 @@ _REACH = 2
 
 _QUOTE = re.compile(r"^\s*>+ ?")
 _MARKER = re.compile(r"(?:[-*•+–·]|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,5})[.)])\s")
-_INLINE = (re.compile(r"\s/\s"), re.compile(r"\s\|\s"), re.compile(r";\s"), re.compile(r",\s"))
+_INLINE = (("/", re.compile(r"\s/\s")), ("|", re.compile(r"\s\|\s")), (";", re.compile(r";\s")), (",", re.compile(r",\s")))
 _STOP = re.compile(r"[^\W\d_][.!?](?=\s|$)")
 _PLAIN = ".,;:'\"()-?!"
 _LETTER, _DIGIT, _SPACE, _SYMBOL, _STOP_SIGN, _CUT_SIGN, _BAR = 1, 2, 4, 8, 16, 32, 64
@@ -83,7 +83,9 @@ def _itemized(line: str) -> list[str]:
     """
     if len(line) < 40 or line[0] in "|+":
         return [line]
-    for separator in _INLINE:
+    for sign, separator in _INLINE:
+        if line.count(sign) < 4:
+            continue
         cuts = len(separator.findall(line))
         if cuts >= 4 and 6 * len(_STOP.findall(line)) <= cuts:
             return separator.split(line)
