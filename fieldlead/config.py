@@ -51,7 +51,7 @@ SCHEMA: dict[str, Key] = {
     "universe.drop_withdrawn": Key(bool, True),
     "edges.deduplicate": Key(bool, True),
     "edges.conflict_rule": Key(str, "drop_conflicts", ("any_examiner", "all_examiner", "drop_conflicts")),
-    "edges.examiner": Key(str, "cited by examiner"),
+    "edges.examiner": Key(str, "cited by examiner"),  # a fixed value of the source data
     "counting.method": Key(str, "fractional", ("fractional", "full")),
     "counting.field_size": Key(str, "full", ("fractional", "full")),
     "codes.assignment": Key(str, "primary", ("primary", "all")),

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldlead.functions.columns import repaired_id
 
+# What surnames are compared without.
+NAME_SIGNS = "[,.]"
+NAME_SUFFIX = r"\s+(jr|sr|ii|iii|iv|v)$"
+
 
 def require_repaired(ids: DataFrame, column: str, label: str) -> None:
     """Stop if the repair has turned an identifier into null, with a few examples."""
@@ -101,10 +105,16 @@ def owner(preferred: str = "release") -> tuple[Column, Column]:
     return F.coalesce(*[F.col(c) for c in order[preferred]]), F.when(a.isNotNull() & b.isNotNull(), a == b)
 
 
+def method_table(owners: DataFrame) -> DataFrame:
+    """(routes, identities): identities whose routes agree, disagree, or of which only one spoke."""
+    a, b = F.col("release_contributor"), F.col("coordinate_contributor")
+    kind = F.when(a.isNull() & b.isNull(), "neither").when(b.isNull(), "release only").when(a.isNull(), "coordinate only").when(a == b, "both agree").otherwise("both differ")
+    return owners.groupBy(kind.alias("routes")).agg(F.count("*").alias("identities"))
+
+
 def tidy_name(name: Column) -> Column:
     """A surname in lower case without commas, full stops and a generational suffix; accents are compared away in ``names_agree``."""
-    plain = F.regexp_replace(F.lower(name), "[,.]", "")
-    return F.trim(F.regexp_replace(plain, r"\s+(jr|sr|ii|iii|iv|v)$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), NAME_SIGNS, ""), NAME_SUFFIX, ""))
 
 
 def names_agree(left: Column, right: Column) -> Column:

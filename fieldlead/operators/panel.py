@@ -143,3 +143,12 @@ def with_floor(fields: DataFrame, floor: DataFrame, inclusive: bool = True) -> D
     size = F.col("field_documents")
     clears = size >= F.col("floor") if inclusive else size > F.col("floor")
     return fields.join(F.broadcast(floor), "year").withColumn("clears_floor", clears)
+
+
+def summary(fields: DataFrame) -> DataFrame:
+    """One row about field-years with a floor: fields, rows, median, middle and high first shares, range of the floor."""
+    share = "top_share"
+    return fields.agg(
+        F.count_distinct("field_id").alias("fields"), F.count("*").alias("rows"), F.median(share).alias("median_share"), F.percentile(share, 0.5).alias("p50"), F.percentile(share, 0.9).alias("p90"),
+        F.max(share).alias("highest"), F.min("floor").alias("lowest_floor"), F.max("floor").alias("highest_floor"),
+    )

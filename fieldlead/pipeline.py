@@ -91,6 +91,8 @@ def build_links(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame
     else:
         ledger.note("links", "How far the documents of both releases agree is kept in a column and acted on nowhere")
     store.write_table(kept, target, cfg, "links")
+    sections = {"Routes": link.method_table(store.read_table(spark, target)), "Agreement of documents": store.read_table(spark, target).groupBy("agreement").agg(F.count("*").alias("identities")).orderBy("agreement")}
+    store.write_text(out, "links.md", report.document("Links between old and current identities", {n: report.table(f.toPandas()) for n, f in sections.items()}), cfg)
     if "names" in tables and "contributor_names" in tables:
         shares = link.both_name_agreements(store.read_table(spark, target), tables["names"], tables["contributor_names"], cfg["link.preferred_route"], cfg["link.name_floor"], "names of linked identities")
         ledger.note("names", "Agreeing names: " + ", ".join(f"{k} {v:.2%}" for k, v in shares.items() if v is not None))
@@ -178,6 +180,7 @@ def select(spark: SparkSession, cfg: Config, built: Mapping[str, Place], measure
         "loose_exposure": selection.loose_exposure(hits, span, first, last),
         "decomposition": selection.floor_decomposition(hits, selection.field_ever_clears(years, first, last)),
         "field_size": selection.size_summary(years, first, last, span, cfg["select.working_cutoff"]),
+        "summary": panel.summary(years),
         "exclusions": selection.exclusions(pool.where(F.col("year").between(first, last)), next(r for r in rules if r.max_rank is not None)),
         "curve": report.persistence_steps(selection.at_least_curve(selection.pair_spells(hits), last - first + 1)),
         "fields_per_contributor": selection.fields_per_contributor(hits.where(F.col("rule") == working)),
@@ -208,7 +211,7 @@ def run(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], out:
         built |= build_links(spark, cfg, tables, folder, ledger)
         if {"records", "years"} <= tables.keys():
             built |= build_events(spark, cfg, tables, built["links"], folder, ledger)
-    written, failed, chosen = list(built.values()), [], []
+    written, failed, chosen, contributors = list(built.values()), [], [], {}
     floors, sentence = refusals.floors_to_report(cfg)
     decimals = cfg["report.share_decimals"]
     for width in cfg["fields.widths"]:
@@ -216,12 +219,14 @@ def run(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], out:
         results, cell_checks = select(spark, cfg, built, measured, folder, width, force)
         written += measured.values()
         sections = {"Panel checks": report.checks(panel_checks), "Selection checks": report.checks(cell_checks), "Floors": sentence}
-        for name in ("cells", "loose_exposure", "decomposition", "field_size", "exclusions", "curve", "fields_per_contributor", "fields_with_several"):
+        frames = {}
+        for name in ("summary", "cells", "loose_exposure", "decomposition", "field_size", "exclusions", "curve", "fields_per_contributor", "fields_with_several"):
             frame = results[name].toPandas()
             store.write_csv(folder, f"{name}_{width}.csv", frame.round(decimals), cfg)
             if "with_floor" in frame:
                 frame = frame[frame["with_floor"].isin(floors)].sort_values([c for c in ("rule", "with_floor", "k") if c in frame])
             sections[name] = report.table(frame, decimals)
+            frames[name] = frame
         pairs = folder / f"pairs_{width}"
         store.write_table(results["pairs"], pairs, cfg, "select", [folder / f"candidates_{width}", measured["panel"]])
         written.append(pairs)
@@ -229,16 +234,26 @@ def run(spark: SparkSession, cfg: Config, tables: Mapping[str, DataFrame], out:
         try:
             refusals.filing_years_need_primary_codes(cfg)
         except refusals.Refused as why:
-            sections["filing_years"] = str(why)
+            sections["filing_years"], filing = str(why), None
         else:
             hits = store.read_table(spark, pairs).select(*selection.PAIR, F.explode("qualifying").alias("year"))
             behind = selection.filing_years_behind(hits, panel.activity(store.read_table(spark, built[f"spine_{width}"])), cfg["windows.span"])
-            sections["filing_years"] = report.table(selection.filing_year_summary(behind, cfg["windows.span"]).toPandas(), decimals)
+            filing = selection.filing_year_summary(behind, cfg["windows.span"]).toPandas()
+            sections["filing_years"] = report.table(filing, decimals)
+        plain = [r.name for r in selection.rule_list(cfg["select.cutoffs"], cfg["select.max_rank"], cfg["select.min_margin"], cfg["select.min_share"]) if r.max_rank is None]
+        working = f"cutoff_{round(cfg['select.working_cutoff'] * 10_000):04d}"
+        cell = next(c for c in frames["cells"].to_dict("records") if c["rule"] == working and c["with_floor"] == floors[0])
+        sections["Persistence in words"] = report.describe_persistence(cell, None if filing is None else filing.to_dict("records")[0], cfg["windows.span"])
+        sections["The floor in words"] = report.describe_floor(frames["decomposition"].to_dict("records"))
+        for floor in floors:
+            name = f"persistence_{width}_{'with' if floor else 'without'}_floor.svg"
+            store.write_text(folder, name, report.persistence_figure(frames["curve"], plain, refusals.LINE_COLOURS, cfg["windows.span"], floor), cfg)
+        contributors[width] = int(cell["contributors"])
         store.write_text(folder, f"report_{width}.md", report.document(f"Dominance at width {width}", sections), cfg)
         failed += [c for c in (*panel_checks, *cell_checks) if not c.passed]
     if len(chosen) > 1:
         shared = selection.overlap(functools.reduce(DataFrame.unionByName, chosen)).toPandas()
-        store.write_text(folder, "report_widths.md", report.document("Contributors that widths share", {"Overlap": report.table(shared)}), cfg)
+        store.write_text(folder, "report_widths.md", report.document("Contributors that widths share", {"Overlap": report.table(shared), "In words": report.describe_widths(shared.to_dict("records"), contributors)}), cfg)
     ledger.finish(folder)
     index = store.write_index(folder, written, cfg)
     if failed:

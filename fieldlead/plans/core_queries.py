@@ -317,14 +317,9 @@ def _sums(spark, d):
     return per.agg(F.count("*").alias("field_years"), F.count_if(F.abs(F.col("s") - 1) >= 1e-9).alias("off"))
 
 
-@_query("panel_summary", "fields:i rows:i median_share:f p50:f p90:f highest:f", f"""WITH {_years()}
-SELECT count(DISTINCT field_id) AS fields, count(*) AS rows, median(top_share) AS median_share, quantile_cont(top_share, 0.5) AS p50, quantile_cont(top_share, 0.9) AS p90, max(top_share) AS highest FROM field_years""")
-def _summary(spark, d):
-    years = b.field_years(spark, d)
-    return years.agg(
-        F.count_distinct("field_id").alias("fields"), F.count("*").alias("rows"), F.median("top_share").alias("median_share"), F.percentile("top_share", 0.5).alias("p50"),
-        F.percentile("top_share", 0.9).alias("p90"), F.max("top_share").alias("highest"),
-    )
+_query("panel_summary", "fields:i rows:i median_share:f p50:f p90:f highest:f lowest_floor:f highest_floor:f", f"""WITH {_floor(_PER_YEAR)}
+SELECT count(DISTINCT field_id) AS fields, count(*) AS rows, median(top_share) AS median_share, quantile_cont(top_share, 0.5) AS p50, quantile_cont(top_share, 0.9) AS p90, max(top_share) AS highest,
+  min(floor) AS lowest_floor, max(floor) AS highest_floor FROM floored""")(lambda s, d: panel.summary(b.floored(s, d)))
 
 
 @_query("flagship_leaders", "field_id year:i contributor_id:i share:f n_tied_at_rank:i margin:f", f"WITH {_panel()}\nSELECT * FROM panel WHERE rank = 1")
@@ -431,6 +426,12 @@ def _owner_whole(spark, d):
     return anchors.join(release, "customer", "left").join(coordinate, "identity_id", "left").withColumn("owner", owner).withColumn("routes_agree", agree)
 
 
+_query("link_methods", "routes identities:i", f"""WITH {_PAIRS},{_ANCHORS},
+owners AS (SELECT r.contributor_id AS a, c.contributor_id AS c FROM anchors x LEFT JOIN release_link r ON r.identity_id = x.customer LEFT JOIN coordinate c ON c.identity_id = x.identity_id)
+SELECT CASE WHEN a IS NULL AND c IS NULL THEN 'neither' WHEN c IS NULL THEN 'release only' WHEN a IS NULL THEN 'coordinate only' WHEN a = c THEN 'both agree' ELSE 'both differ' END AS routes, count(*) AS identities FROM owners GROUP BY 1""")(
+    lambda s, d: link.method_table(_owner_whole(s, d))
+)
+
 _AGREE = f"""WITH {_PAIRS},
 l AS (SELECT o_custkey AS identity_id, l_partkey AS doc_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 r AS (SELECT l_suppkey AS contributor_id, l_partkey AS doc_id FROM lineitem),

@@ -19,6 +19,7 @@ def local_session(app: str = "fieldlead", cores: int | str = "*", shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -35,7 +36,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF, None)
-        if not folder and not context.master.startswith("local["):
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that the cluster shares")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldlead-"))
     return df.checkpoint(eager=True)

@@ -58,8 +58,8 @@ def test_agreement_of_sets(spark):
 
 
 def test_names_without_case_and_accents(spark):
-    left = spark.createDataFrame([("1", "Müller"), ("2", "Mallon, Jr."), ("3", "Smith")], "identity_id string, name string")
-    right = spark.createDataFrame([("a", "MULLER"), ("b", "mallon"), ("c", "Jones"), ("c", None)], "contributor_id string, name string")
+    left = spark.createDataFrame([("1", "Müller"), ("2", "Harlow, Jr."), ("3", "Smith")], "identity_id string, name string")
+    right = spark.createDataFrame([("a", "MULLER"), ("b", "harlow"), ("c", "Jones"), ("c", None)], "contributor_id string, name string")
     row = link.name_agreement(pairs(spark, [("1", "a"), ("2", "b"), ("3", "c")]), left, right).first()
     assert (row["compared"], row["agreeing"]) == (3, 2)
     linked = pairs(spark, [("1", "a"), ("2", "b"), ("3", "c")])

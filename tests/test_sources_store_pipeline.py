@@ -1,6 +1,7 @@
 import random
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def test_the_whole_run(spark, tmp_path):
     assert "FAILED" not in text and text.count("passed") == 21 and "STALE" not in index.read_text()
     assert "orphan documents" in (tmp_path / "diary.md").read_text()
     sections = {r["section"]: r["lines"] for r in report.sections_frame(spark, text).collect()}
-    assert set(sections) == {"Panel checks", "Selection checks", "Floors", "cells", "loose_exposure", "decomposition", "field_size", "exclusions", "curve", "fields_per_contributor", "fields_with_several", "filing_years"} and sections["cells"] == 14
+    assert set(sections) == {"Panel checks", "Selection checks", "Floors", "summary", "Persistence in words", "The floor in words", "cells", "loose_exposure", "decomposition", "field_size", "exclusions", "curve", "fields_per_contributor", "fields_with_several", "filing_years"} and sections["cells"] == 14
 
 
 def identities(spark, tables):
@@ -139,6 +140,7 @@ def test_edges_links_and_events_of_a_run(spark, tmp_path):
     same = [store.read_table(spark, tmp_path / x / "edges") for x in "ab"]
     assert same[0].columns == same[1].columns and same[0].agg(F.sum("records")).first()[0] == same[1].count() > same[0].count()
     assert store.read_table(spark, tmp_path / "b" / "links").where("agreement <> 'identical'").count() == 0 and store.read_table(spark, tmp_path / "b" / "links").count() < links.count()
+    assert "both agree" in (tmp_path / "a" / "links.md").read_text() and "In words" in (tmp_path / "a" / "report_widths.md").read_text()
     assert "Contributors that widths share" in (tmp_path / "a" / "report_widths.md").read_text() and "top-coded" in (tmp_path / "a" / "birth_years.md").read_text()
     with pytest.raises(ValueError, match="below the floor"):
         pipeline.run(spark, config.build(tree), tables | {"contributor_names": tables["contributor_names"].where("false")}, tmp_path / "c")
@@ -205,6 +207,19 @@ def test_versions_are_read_by_number(spark, tmp_path):
     assert store.edited_by_hand(tmp_path, ["r.md"]) == ["r.md"]
 
 
+def test_figure_and_sentences():
+    points = pd.DataFrame([("a", True, 1, 1.0), ("a", True, 2, 0.5), ("b", True, 1, 1.0), ("a", False, 1, 1.0)], columns=["rule", "with_floor", "k", "share"])
+    text = report.persistence_figure(points, ["a", "b", "c"], ["black", "blue", "red"], 3, True)
+    assert text.count("<polyline") == 2 and text.count("stroke-dasharray") == 2 and text == report.persistence_figure(points.sample(frac=1, random_state=1), ["a", "b", "c"], ["black", "blue", "red"], 3, True)
+    cell = {"pairs": 4, "median_years": 2.5, "contiguous": 3, "edge_touching": 1, "median_years_interior": 3.0}
+    said = report.describe_persistence(cell, {"pairs": 4, "one_filing_year": 1, "span_or_more": 2}, 3)
+    assert "2.5 window-years" in said and "3 of 4 (75.0%)" in said and "no longer than that" in said and "1 of 4 (25.0%) have a single filing year" in said
+    assert "nothing to say" in report.describe_persistence(cell | {"pairs": 0}, None, 3)
+    said = report.describe_floor([{"rule": "r", "pairs": 10, "lost_field_never": 3, "lost_other_year": 1}, {"rule": "s", "pairs": 2, "lost_field_never": 0, "lost_other_year": 0}, {"rule": "t", "pairs": 5, "lost_field_never": 0, "lost_other_year": 2}])
+    assert "4 of 10 (40.0%) pairs, most of them for fields that never reach it" in said and "takes nothing from 2 pairs" in said and "too small" in said.splitlines()[2]
+    assert report.describe_widths([], {}) == "No two widths share a contributor." and "2 of 4 (50.0%)" in report.describe_widths([{"left": "a", "right": "b", "shared": 2}], {"a": 4, "b": 9})
+
+
 def test_split_reading_gives_the_same_table(spark, tmp_path, rows):
     """Blocks of 40 bytes: nearly every record is cut somewhere, some span several blocks."""
     random.seed(12)
