@@ -9,17 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fieldlead import guard, report
+from fieldlead import config, guard, report, store
+from fieldlead.files import Place
 from fieldlead.functions.columns import reads_as_one, repaired_id
 from fieldlead.ledger import Ledger
 from fieldlead.operators import edges, evidence, fields, link, panel, rejects, selection, spine
 from fieldlead.operators.inforce import in_force
 from fieldlead.plans import bindings as b
 from fieldlead.plans.problems import _SEQ_OK, _TRIM
-from fieldlead.session import checkpointed
+from fieldlead.session import checkpointed, shared_folder
+from fieldlead.sources.delimited import read_split
 from fieldlead.sources.tables import load
 
 CUTOFFS = (0.05, 0.1, 0.25)
@@ -807,3 +810,21 @@ UNION ALL SELECT 'Grants', count(*) + 2 FROM (SELECT DISTINCT year(grant_date) F
 def _sections(spark, d):
     tables = {"Types": _universe_by_type(spark, d), "Grants": _universe_by_grant(spark, d)}
     return report.sections_frame(spark, report.document("Universe", {name: report.table(f.toPandas()) for name, f in tables.items()}))
+
+
+@_query("written_table", "doc_id:i doc_type filing_date year:i", f"WITH {_UNIVERSE}\nSELECT doc_id, doc_type, filing_date, year FROM universe")
+def _written(spark, d):
+    """The universe through the store: written under its note into the shared folder and read again."""
+    place, cfg = Place(shared_folder(spark)) / f"universe-{uuid4().hex}", config.build()
+    store.write_table(b.universe(spark, d).drop("grant_date", "withdrawn"), place, cfg, "query")
+    store.require_same_config([place], cfg)
+    return store.read_table(spark, place)
+
+
+@_query("delimited_split", "row_id target_table raw_line", "WITH lines AS (SELECT * FROM raw_records)\nSELECT CAST(row_id AS varchar) AS row_id, target_table, raw_line FROM lines")
+def _delimited(spark, d):
+    """Delivered lines as fields of delimited text in the shared folder, read again block by block: they hold tabs, quotes and line breaks."""
+    place = Place(shared_folder(spark)) / f"lines-{uuid4().hex}"
+    lines = load(spark, d, "raw_records").select("row_id", "target_table", "raw_line")
+    lines.write.options(header=True, sep="\t", quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(place)
+    return read_split(spark, place, columns=["row_id", "target_table", "raw_line"])

@@ -26,19 +26,24 @@ def local_session(app: str = "fieldlead", cores: int | str = "*", shuffle_partit
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for checkpoints and tables of passage.
 
-    The folder is the one in ``spark.checkpoint.dir``. Where that setting is absent, a session on one
-    machine (tests) gets a temporary folder; on a cluster that is an error, as executors share no such folder.
+    It is the one in ``spark.checkpoint.dir``. Where that setting is absent, a session on one machine
+    (tests) gets a temporary folder; on a cluster that is an error, as executors share no such folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF, None)
         if not folder and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError(f"{CHECKPOINT_CONF} must name a folder that the cluster shares")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldlead-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
