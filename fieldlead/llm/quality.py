@@ -16,7 +16,7 @@ from fieldlead.llm.shipping import ship_package
 from fieldlead.session import checkpointed
 
 KINDS = ("prose", "list", "table", "junk")
-COMPONENTS = 64
+COMPONENTS = 96
 #: Rounds over all segments after which a fit that still moves is reported.
 ROUNDS = 100
 #: Log-likelihood per segment must rise by this much for another round.
